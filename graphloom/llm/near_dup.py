@@ -1,11 +1,12 @@
 """Near-duplicate records with small edits, by PartEnum signatures over size bands.
 
 A record is the set of its runs of k consecutive words. Two sets of sizes a <= b with Jaccard similarity g or more differ
-in at most (1 - g) / (1 + g) * (a + b) elements. The sizes are cut into bands of ratio 1 / g; for each band the element
+in at most (1 - g) / (1 + g) * (a + b) elements. The sizes are cut into bands of ratio 1 / g^2; for each band the element
 domain is partitioned by hash into somewhat more parts than elements may differ, so two sufficiently similar sets agree
 in a part that holds elements of both, and the elements of that part are their common signature. A set takes part in its
 own band and, where a larger partner may lie in the next, in that one too. By the pigeonhole principle it needs to emit
-only its first d + 1 non-empty parts in a fixed order, d being the number of elements that may differ.
+only its first d + 1 non-empty parts in an order that is the same for all sets (parts with more uncommon words first),
+d being the number of elements that may differ.
 
 Words that very many records hold ("return nil err") would give signatures shared by everything. Elements made of such
 words alone are left out of the partitioned domain; that keeps the bound, since the sets differ in no more elements of
@@ -16,19 +17,23 @@ every element as a part of its own. Equal sets are one class from the start, so
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.plans.lineage import SharedTables
+
 WORD = "[a-z0-9_]+"
 #: Words in more than this share of the records (and in at least MIN_COMMON of them) are common.
-COMMON_SHARE, MIN_COMMON = 0.02, 64
+COMMON_SHARE, MIN_COMMON = 0.005, 64
 #: At most so many common words are kept in the plan; the share is raised until they fit.
 MAX_COMMON = 2000
 #: Parts of a band's domain for each element of its largest set.
-PARTS = 0.7
+PARTS = 0.6
 
 
 def words(text: Column) -> Column:
@@ -52,25 +57,25 @@ def common_words(records: DataFrame, text: str) -> list[str]:
 
 
 def word_sets(records: DataFrame, id_col: str, text: str, k: int, common: list[str]) -> DataFrame:
-    """(id, n, sh): the set of hashes of all runs of k words, sorted; the lowest bit marks runs of common words alone.
+    """(id, cls, sh): the set of hashes of all runs of k words, sorted, and its own hash; the lowest two bits hold min(3, words not common).
 
     Texts that are null or have fewer than k words have no runs and give no row.
     """
     w = records.select(F.col(id_col).alias("id"), words(F.col(text)).alias("w")).where(F.size("w") >= k)
     literal = ",".join(f"'{x}'" for x in common) or "''"
-    flags = w.select("id", "w", F.expr(f"transform(w, x -> x in ({literal}))").alias("c"))
+    flags = w.select("id", "w", F.expr(f"transform(w, x -> case when x in ({literal}) then 0L else 1L end)").alias("c"))
     at = [f"w[i + {j}]" for j in range(k)]
-    both = " and ".join(f"c[i + {j}]" for j in range(k))
-    run = f"shiftleft(xxhash64({', '.join(at)}), 1) + (case when {both} then 1L else 0L end)"
+    rare = " + ".join(f"c[i + {j}]" for j in range(k))
+    run = f"shiftleft(xxhash64({', '.join(at)}), 2) + least(3, {rare})"
     sets = flags.select("id", F.expr(f"sort_array(array_distinct(transform(sequence(0, size(w) - {k}), i -> {run})))").alias("sh"))
-    return sets.select("id", F.size("sh").alias("n"), "sh")
+    return sets.select("id", F.xxhash64("sh").alias("cls"), "sh")
 
 
 def bands(threshold: float) -> list[tuple[int, int, int]]:
     """(least size, largest size, parts) of each band, for all sizes an array can have."""
     out, low = [], 1
     while not out or out[-1][0] <= 2**31 / threshold:
-        high = max(low, math.floor(low / threshold + 1e-9))
+        high = max(low, math.floor(low / threshold**2 + 1e-9))
         out.append((low, high, max(4, math.ceil(PARTS * high))))
         low = high + 1
     return out
@@ -78,9 +83,8 @@ def bands(threshold: float) -> list[tuple[int, int, int]]:
 
 def classes(sets: DataFrame) -> DataFrame:
     """(cls, n, sh): one row for each distinct set, named by its hash; a hash met by two sets ends the job."""
-    keyed = sets.select(F.xxhash64("sh").alias("cls"), F.xxhash64(F.lit("second"), "sh").alias("other"), "n", "sh")
-    one = keyed.groupBy("cls").agg(F.first("n").alias("n"), F.first("sh").alias("sh"), F.min("other").alias("lo"), F.max("other").alias("hi"))
-    return one.select("cls", F.when(F.col("lo") == F.col("hi"), F.col("n")).otherwise(F.raise_error(F.lit("two sets share a hash")).cast("int")).alias("n"), "sh")
+    one = sets.select("cls", F.xxhash64(F.lit("second"), "sh").alias("other"), "sh").groupBy("cls").agg(F.first("sh").alias("sh"), F.min("other").alias("lo"), F.max("other").alias("hi"))
+    return one.select("cls", F.when(F.col("lo") == F.col("hi"), F.size("sh")).otherwise(F.raise_error(F.lit("two sets share a hash")).cast("int")).alias("n"), "sh")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -95,7 +99,8 @@ def signature_arrays(offsets: np.ndarray, values: np.ndarray, threshold: float,
     n = np.diff(offsets)
     rec = np.repeat(np.arange(len(n)), n)
     x = values.astype(np.int64).view(np.uint64)
-    rare, x = (x & np.uint64(1)) == 0, x >> np.uint64(1)
+    weight, x = (x & np.uint64(3)).astype(np.int64), x >> np.uint64(2)
+    rare = weight > 0
     high, parts = np.array([r[1] for r in table]), np.array([r[2] for r in table], dtype=np.uint64)
     own = np.searchsorted(high, n)
     most = np.floor(n / threshold + 1e-9).astype(np.int64)  # the largest size of a partner
@@ -106,27 +111,28 @@ def signature_arrays(offsets: np.ndarray, values: np.ndarray, threshold: float,
         live = (n > 0) if step == 0 else (most > high[own])
         differ = np.floor(ratio * (n + np.minimum(most, high[inst])) + 1e-9).astype(np.int64)
         held = rare & live[rec]
-        r, e = rec[held], x[held]
+        r, e, w = rec[held], x[held], weight[held]
         part = e % parts[inst[r]]
         order = np.lexsort((part, r))
-        r, e, part = r[order], e[order], part[order]
+        r, e, w, part = r[order], e[order], w[order], part[order]
         first = np.ones(len(r), dtype=bool)
         first[1:] = (r[1:] != r[:-1]) | (part[1:] != part[:-1])
         at = np.flatnonzero(first)
         filled = np.bincount(r[at], minlength=len(n))
         short |= live & (filled <= differ)
         if len(at):
-            content, r, part = np.bitwise_xor.reduceat(e, at), r[at], part[at]
-            rank = np.arange(len(r)) - (np.cumsum(filled) - filled)[r]
-            kept = rank <= differ[r]
-            place = (inst[r[kept]].astype(np.uint64) << np.uint64(40)) | (part[kept] + np.uint64(1))
-            sigs.append(_mixed(_mixed(place) ^ content[kept]))
+            place = (inst[r[at]].astype(np.uint64) << np.uint64(40)) | (part[at] + np.uint64(1))
+            sig, r, w = _mixed(_mixed(place) ^ np.bitwise_xor.reduceat(e, at)), r[at], np.add.reduceat(w, at)
+            order = np.lexsort((sig, -w, r))  # parts with more uncommon words first: an order of signatures, the same for all sets
+            sig, r = sig[order], r[order]
+            kept = np.arange(len(r)) - (np.cumsum(filled) - filled)[r] <= differ[r]
+            sigs.append(sig[kept])
             owners.append(r[kept])
     if short.any():  # exactly: these meet in any of their first d + 1 elements, those with rare words first
         differ = np.floor(ratio * (n + most) + 1e-9).astype(np.int64)
         held = short[rec]
         r, e = rec[held], x[held]
-        order = np.lexsort((e, ~rare[held], r))
+        order = np.lexsort((e, -weight[held], r))
         r, e = r[order], e[order]
         size = np.bincount(r, minlength=len(n))
         kept = np.arange(len(r)) - (np.cumsum(size) - size)[r] <= differ[r]
@@ -136,36 +142,70 @@ def signature_arrays(offsets: np.ndarray, values: np.ndarray, threshold: float,
     return np.concatenate(sigs or [empty]).view(np.int64), np.concatenate(owners or [empty.astype(np.int64)]), int(short.sum())
 
 
-def signatures(distinct_sets: DataFrame, threshold: float) -> DataFrame:
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(cls, offsets, values) of each batch, a set that a batch holds several times once."""
+    for batch in batches:
+        first = np.unique(batch.column(0).to_numpy(), return_index=True)[1]
+        kept = batch if len(first) == batch.num_rows else batch.take(pa.array(first))
+        lists = kept.column(1)
+        offsets = lists.offsets.to_numpy()
+        yield kept.column(0), offsets - offsets[0], lists.flatten().to_numpy()
+
+
+def signatures(sets: DataFrame, threshold: float) -> DataFrame:
     """(sig, cls): the PartEnum signatures of each set, and element signatures of the sets that lack the guarantee."""
     table = bands(threshold)
 
     def emit(batches):
-        for batch in batches:
-            lists = batch.column(1)
-            offsets = lists.offsets.to_numpy()
-            sig, owner, _ = signature_arrays(offsets - offsets[0], lists.flatten().to_numpy(), threshold, table)
-            yield pa.RecordBatch.from_arrays([pa.array(sig), batch.column(0).take(pa.array(owner))], names=["sig", "cls"])
+        for cls, offsets, values in _batches(batches):
+            sig, owner, _ = signature_arrays(offsets, values, threshold, table)
+            yield pa.RecordBatch.from_arrays([pa.array(sig), cls.take(pa.array(owner))], names=["sig", "cls"])
+
+    return sets.select("cls", "sh").mapInArrow(emit, "sig bigint, cls bigint")
+
+
+def sketch_arrays(offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two words of bits for each set: bit i is the parity of the elements hashed to i (of 128)."""
+    at = _mixed(values.view(np.uint64) >> np.uint64(2)) & np.uint64(127)
+    bit = np.uint64(1) << (at & np.uint64(63))
+    halves = [np.where((at >> np.uint64(6)) == h, bit, np.uint64(0)) for h in (np.uint64(0), np.uint64(1))]
+    return tuple(np.bitwise_xor.reduceat(h, offsets[:-1]).view(np.int64) if len(values) else np.zeros(0, dtype=np.int64) for h in halves)
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """(cls, n, p0, p1): size and parity bits of each set. Sets that differ in d elements differ in d bits at most."""
+
+    def emit(batches):
+        for cls, offsets, values in _batches(batches):
+            p0, p1 = sketch_arrays(offsets, values)
+            yield pa.RecordBatch.from_arrays([cls, pa.array(np.diff(offsets).astype(np.int32)), pa.array(p0), pa.array(p1)], names=["cls", "n", "p0", "p1"])
 
-    return distinct_sets.select("cls", "sh").mapInArrow(emit, "sig bigint, cls bigint")
+    every = sets.select("cls", "sh").mapInArrow(emit, "cls bigint, n int, p0 bigint, p1 bigint")
+    return every.groupBy("cls").agg(F.max("n").alias("n"), F.max("p0").alias("p0"), F.max("p1").alias("p1"))
 
 
-def candidate_pairs(sigs: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of classes that share a signature."""
-    spread = sigs.repartition("sig")
-    shared = spread.groupBy("sig").agg(F.count("*").alias("m"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi")
-    two = shared.where("m = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    crowded = spread.join(shared.where("m > 2").select("sig").hint("shuffle_hash"), "sig")
-    left, right = crowded.select("sig", F.col("cls").alias("a")), crowded.select("sig", F.col("cls").alias("b"))
-    more = left.join(right, "sig").where("a < b").select("a", "b")
-    return two.unionByName(more).distinct()
+def candidate_pairs(sets: DataFrame, threshold: float, tables: SharedTables) -> DataFrame:
+    """Distinct (a, b), a < b, of classes that share a signature and whose sizes and parity bits allow the similarity.
+
+    Signatures held by one class alone are dropped while they are grouped, in one pass over them; what is left is small
+    and is written before it is joined to itself.
+    """
+    group = W.partitionBy("sig")
+    met = signatures(sets, threshold).select("sig", "cls", F.min("cls").over(group).alias("lo"), F.max("cls").over(group).alias("hi")).where("lo < hi").select("sig", "cls")
+    shared = tables.put(met).distinct().join(sketches(sets), "cls")
+    left, right = (shared.select("sig", *[F.col(c).alias(f"{side}_{c}") for c in ("cls", "n", "p0", "p1")]) for side in ("a", "b"))
+    ratio = (1 - threshold) / (1 + threshold)
+    differing = "bit_count(a_p0 ^ b_p0) + bit_count(a_p1 ^ b_p1)"
+    possible = F.expr(f"a_cls < b_cls and a_n >= {threshold} * b_n - 1e-9 and b_n >= {threshold} * a_n - 1e-9 and {differing} <= {ratio!r} * (a_n + b_n) + 1e-9")
+    return left.join(right, "sig").where(possible).select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct()
 
 
-def similar_classes(distinct_sets: DataFrame, threshold: float) -> DataFrame:
+def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity) of the distinct sets whose Jaccard similarity is the threshold or more."""
-    pairs = candidate_pairs(signatures(distinct_sets, threshold))
-    a = distinct_sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sh").alias("sa"))
-    b = distinct_sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sh").alias("sb"))
+    pairs = candidate_pairs(sets, threshold, SharedTables(sets.sparkSession, "neardup"))
+    one = classes(sets)
+    a = one.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sh").alias("sa"))
+    b = one.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sh").alias("sb"))
     both = pairs.join(a, "a").join(b, "b")
     common = both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("m"))
     return common.select("a", "b", (F.col("m") / (F.col("na") + F.col("nb") - F.col("m"))).alias("similarity")).where(F.col("similarity") >= threshold)
@@ -182,8 +222,8 @@ def near_duplicates(records: DataFrame, id_col: str, text: str, k: int = 5, thre
     """
     narrow = records.select(id_col, text)
     sets = word_sets(narrow, id_col, text, k, common_words(narrow, text))
-    members = sets.select("id", F.xxhash64("sh").alias("cls")).distinct()
-    return members, similar_classes(classes(sets), threshold)
+    members = sets.select("id", "cls").distinct()
+    return members, similar_classes(sets, threshold)
 
 
 def expand_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
