@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.queries import problems
+from graphloom.queries import graph, problems
 
-MODULES = (problems,)
+MODULES = (problems, graph)
 
 
 def queries() -> dict:
