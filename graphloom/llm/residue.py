@@ -10,10 +10,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Strings (in lower case) without which a line can't hold a case of the kind.
@@ -35,15 +34,6 @@ TRIGGERS = {
 }
 # What a document with filler words alone must hold.
 FILLER_WORDS = ("lorem", "ipsum", "asdf", "qwer", "hjkl", "blah", "foo ", "bla ", "xxx", "test test")
-# Triggers too common to single out a document; lines that hold them hold a stricter one too, or are found by the line's own test.
-_WIDE = {"this is", "your own", "the real ", "you have ", "point ", "bullet ", " on line ", " scripts", "scripts ", " script", "hier steht", "sorry", "not allowed", "your account"}
-# The stricter forms of those, for choosing documents.
-_NARROW = (
-    "this is a sample", "this is sample", "this is dummy", "this is a dummy", "this is placeholder", "this is a placeholder", "this is filler", "this is a filler", "this is example", "this is an example", "this is a example", "with your own", "the real section", "the real text", "the real content",
-    "you have sent", "you have made", "you have to", "parse error", "warning:", "notice:", "scripts are", "scripts is", "scripts in", "scripts and", "scripts to", "scripts for", "script execution", "without scripts", "without script", "allow script", "enable script", "turn on script", "activate script", "switch on script",
-    "requires script", "needs script", "scripts off", "hier steht später", "sorry,", "sorry.", "sorry!", "sorry:", "sorry ", "method not allowed", "your account may", "your account can", "your account does", "your account is",
-)
-
 _NAME = r"[A-Za-z][A-Za-z0-9_. -]{0,40}"
 # One grammar for each delimiter style of placeholders.
 PLACEHOLDERS = tuple(
@@ -229,13 +219,6 @@ def _is_filler(paragraph: list[str]) -> bool:
     return sum(1 for w in words if w in _MASH) >= 0.7 * len(words)
 
 
-def suspicious(text: Column) -> Column:
-    """A cheap necessary condition, evaluated in the JVM, so that only suspects are sent to Python."""
-    low = F.lower(text)
-    strings = [t for kind in TRIGGERS.values() for t in kind if t not in _WIDE] + [*_NARROW, *FILLER_WORDS]
-    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in dict.fromkeys(strings)])
-
-
 def residues(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, kinds) of the documents in which residue stands where content should be.
 
@@ -244,10 +227,10 @@ def residues(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """
     kind = docs.schema[doc_id].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [residue(t) for t in pdf["t"]]
-            held = [bool(f) for f in found]
-            yield pd.DataFrame({"doc_id": pdf["d"][held], "kinds": [f for f in found if f]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [residue(t) for t in batch.column(1).to_pylist()]
+            at = pa.array([i for i, f in enumerate(found) if f], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([f for f in found if f], pa.list_(pa.string()))], names=["doc_id", "kinds"])
 
-    return docs.where(suspicious(F.col(text))).select(F.col(doc_id).alias("d"), F.col(text).alias("t")).mapInPandas(run, f"doc_id {kind}, kinds array<string>")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, f"doc_id {kind}, kinds array<string>")
