@@ -62,7 +62,11 @@ def bm25(docs: DataFrame, doc_id: str, text: str, query: str, limit: int, k1: fl
     """
     wanted = sorted(set(query.lower().split()))
     t = docs.select(F.col(doc_id).alias("doc"), F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), TOKENS), lambda x: x != "").alias("t"))
-    counted = t.select("doc", F.size("t").alias("dl"), *[F.size(F.filter("t", lambda x, w=w: x == w)).alias(f"tf{i}") for i, w in enumerate(wanted)])
+
+    def times(word: str) -> Column:
+        return F.size(F.filter("t", lambda x: x == word))
+
+    counted = t.select("doc", F.size("t").alias("dl"), *[times(w).alias(f"tf{i}") for i, w in enumerate(wanted)])
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(wanted))])
     any_hit = reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(wanted))])
     hit = counted.where(any_hit).join(F.broadcast(stats))  # one row of statistics

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.queries import graph, problems
+from graphloom.queries import graph, problems, texts
 
-MODULES = (problems, graph)
+MODULES = (problems, graph, texts)
 
 
 def queries() -> dict:
