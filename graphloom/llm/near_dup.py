@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -46,14 +46,15 @@ def common_words(records: DataFrame, text: str) -> list[str]:
 
     Its length can't exceed (mean words a record) / share, whatever the collection's size.
     """
-    seen = Observation()
-    counted = records.observe(seen, F.count(F.lit(1)).alias("n"))
-    counts = counted.select(F.explode(F.array_distinct(words(F.col(text)))).alias("w")).groupBy("w").count()
-    rows = counts.where(F.col("count") >= MIN_COMMON).orderBy(F.desc("count"), "w").limit(MAX_COMMON + 1).collect()
-    least = max(MIN_COMMON, math.ceil(seen.get["n"] * COMMON_SHARE))
-    if len(rows) > MAX_COMMON:  # keep whole counts only, so that the list doesn't depend on ties
+    # the empty word stands for the record itself, so that one pass counts records and words
+    held = F.array_append(F.array_distinct(words(F.col(text))), F.lit(""))
+    counts = records.select(F.explode(held).alias("w")).groupBy("w").count()
+    rows = counts.where((F.col("count") >= MIN_COMMON) | (F.col("w") == "")).orderBy(F.desc("count"), "w").limit(MAX_COMMON + 2).collect()
+    n = next((r["count"] for r in rows if not r["w"]), 0)
+    least = max(MIN_COMMON, math.ceil(n * COMMON_SHARE))
+    if len(rows) > MAX_COMMON + 1:  # keep whole counts only, so that the list doesn't depend on ties
         least = max(least, rows[-1]["count"] + 1)
-    return [r["w"] for r in rows if r["count"] >= least]
+    return [r["w"] for r in rows if r["w"] and r["count"] >= least]
 
 
 def word_sets(records: DataFrame, id_col: str, text: str, k: int, common: list[str]) -> DataFrame:
