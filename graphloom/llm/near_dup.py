@@ -201,9 +201,9 @@ def candidate_pairs(sets: DataFrame, threshold: float, tables: SharedTables) ->
     return left.join(right, "sig").where(possible).select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct()
 
 
-def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
+def similar_classes(sets: DataFrame, threshold: float, tables: SharedTables) -> DataFrame:
     """(a, b, similarity) of the distinct sets whose Jaccard similarity is the threshold or more."""
-    pairs = candidate_pairs(sets, threshold, SharedTables(sets.sparkSession, "neardup"))
+    pairs = candidate_pairs(sets, threshold, tables)
     one = classes(sets)
     a = one.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sh").alias("sa"))
     b = one.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sh").alias("sb"))
@@ -222,9 +222,10 @@ def near_duplicates(records: DataFrame, id_col: str, text: str, k: int = 5, thre
     tables give empty results; further columns are ignored.
     """
     narrow = records.select(id_col, text)
-    sets = word_sets(narrow, id_col, text, k, common_words(narrow, text))
+    tables = SharedTables(records.sparkSession, "neardup")
+    sets = tables.put(word_sets(narrow, id_col, text, k, common_words(narrow, text)))  # read several times below
     members = sets.select("id", "cls").distinct()
-    return members, similar_classes(sets, threshold)
+    return members, similar_classes(sets, threshold, tables)
 
 
 def expand_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
