@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Words of a shift-table block.
 BLOCK = 3
 #: Evaluation text searched for in one pass over the corpus, in characters; more text takes more passes.
-PASS_CHARS = 32_000_000
+PASS_CHARS = 4_000_000
 
 _RUNS = re.compile(r"[^\W_]+")
 #: Numerals that are no decimal digits, such as fractions and superscripts; they separate words like punctuation.
