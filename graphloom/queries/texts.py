@@ -250,9 +250,18 @@ def ep20_config_links(nodes):
 SELECT doc_id, array_to_string(list_filter(list_transform(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> ''), lambda x: regexp_replace(x, '[^\\p{{L}}\\p{{N}}_]', '', 'g')), lambda x: strlen(x) > 1 AND x NOT IN ({_quoted(fixed.STOP_WORDS)}))[1:12], ' ') AS keywords
 FROM documents WHERE text IS NOT NULL""")
 def fp15_keywords(documents):
+    """The first 12 keywords of a text, as its SQL twin has them; fp15_all_keywords has all."""
     return documents.where("text is not null").select("doc_id", F.array_join(F.slice(C.keywords(F.col("text")), 1, 12), " ").alias("keywords"))
 
 
+@query("documents", sql=f"""
+SELECT doc_id, array_to_string(list_filter(list_transform(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> ''), lambda x: regexp_replace(x, '[^\\p{{L}}\\p{{N}}_]', '', 'g')), lambda x: strlen(x) > 1 AND x NOT IN ({_quoted(fixed.STOP_WORDS)})), ' ') AS keywords
+FROM documents WHERE text IS NOT NULL""")
+def fp15_all_keywords(documents):
+    """All keywords of a text, in its order."""
+    return documents.where("text is not null").select("doc_id", F.array_join(C.keywords(F.col("text")), " ").alias("keywords"))
+
+
 @query("documents", sql="SELECT doc_id FROM (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x IN ('harbor', 'token', 'only'))) AS t FROM documents WHERE text IS NOT NULL) WHERE len(t) = 3")
 def ft2_boolean_and(documents):
     return S.boolean_and(documents, "doc_id", "text", "harbor token only").select(F.col("doc").alias("doc_id"))
