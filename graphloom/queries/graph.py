@@ -267,6 +267,23 @@ def g3_flow_paths(nodes, edges):
     return p.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), (F.size("path") - 1).alias("steps"))
 
 
+#: Edge types of each flow; "any" follows all.
+FLOWS = {"request": ("CALLS", "ASYNC_CALLS", "HTTP_CALLS", "HANDLES_ROUTE"), "render": ("RENDERS", "CALLS"), "data": ("CALLS", "ASYNC_CALLS", "IMPORTS", "USES")}
+#: Steps of a flow path.
+FLOW_STEPS = 5
+
+
+def flow_paths(nodes, edges, flow: str = "any"):
+    """(path, steps): every simple path of 1 to FLOW_STEPS steps from any node over the edges of a flow type."""
+    p = G.paths(edges.where(F.col("type").isin(*FLOWS[flow])) if flow in FLOWS else edges, nodes, FLOW_STEPS)
+    return p.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), (F.size("path") - 1).alias("steps"))
+
+
+@query()
+def g3_data_flow_paths(nodes, edges):
+    return flow_paths(nodes, edges, "data")
+
+
 @query("""
 WITH RECURSIVE d AS (SELECT DISTINCT source_id AS a, target_id AS b FROM edges WHERE type = 'INHERITS'), n AS (SELECT a AS id FROM d UNION SELECT b FROM d),
 reach AS (SELECT a, b FROM d UNION SELECT r.a, d.b FROM reach r JOIN d ON d.a = r.b), bad AS (SELECT a AS id FROM reach WHERE a = b),
