@@ -245,6 +245,12 @@ def g1_trace_calls(nodes, edges):
     return G.frontier(edges.where("type = 'CALLS'"), nodes.where("label = 'Function' and startswith(name, 'render')"), 4)
 
 
+def _impact(nodes, edges):
+    hit = G.frontier(edges, nodes.where("label = 'Interface'"), 3, reverse=True).where("depth > 0").join(nodes.select("id", "project", "file_path"), "id")
+    by = hit.groupBy("project").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("indirect"), F.count_distinct("file_path").alias("files"))
+    return by.withColumn("risk", F.when((F.col("direct") > 10) | (F.col("files") > 10), "high").when(F.col("direct") > 3, "medium").otherwise("low"))
+
+
 @query("""
 WITH RECURSIVE c AS (SELECT DISTINCT source_id, target_id FROM edges WHERE type IN ('CALLS', 'USES', 'INHERITS')),
 r AS (SELECT id, 0 AS depth FROM nodes WHERE label = 'Interface' UNION SELECT c.source_id, r.depth + 1 FROM r JOIN c ON c.target_id = r.id WHERE r.depth < 3),
@@ -253,9 +259,19 @@ SELECT n.project, count(*) FILTER (WHERE depth = 1) AS direct, count(*) FILTER (
   CASE WHEN count(*) FILTER (WHERE depth = 1) > 10 OR count(DISTINCT n.file_path) > 10 THEN 'high' WHEN count(*) FILTER (WHERE depth = 1) > 3 THEN 'medium' ELSE 'low' END AS risk
 FROM m JOIN nodes n ON n.id = m.id WHERE depth > 0 GROUP BY n.project""")
 def g2_impact(nodes, edges):
-    hit = G.frontier(edges.where(F.col("type").isin("CALLS", "USES", "INHERITS")), nodes.where("label = 'Interface'"), 3, reverse=True).where("depth > 0").join(nodes.select("id", "project", "file_path"), "id")
-    by = hit.groupBy("project").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("indirect"), F.count_distinct("file_path").alias("files"))
-    return by.withColumn("risk", F.when((F.col("direct") > 10) | (F.col("files") > 10), "high").when(F.col("direct") > 3, "medium").otherwise("low"))
+    return _impact(nodes, edges.where(F.col("type").isin("CALLS", "USES", "INHERITS")))
+
+
+@query("""
+WITH RECURSIVE c AS (SELECT DISTINCT source_id, target_id FROM edges),
+r AS (SELECT id, 0 AS depth FROM nodes WHERE label = 'Interface' UNION SELECT c.source_id, r.depth + 1 FROM r JOIN c ON c.target_id = r.id WHERE r.depth < 3),
+m AS (SELECT id, min(depth) AS depth FROM r GROUP BY id)
+SELECT n.project, count(*) FILTER (WHERE depth = 1) AS direct, count(*) FILTER (WHERE depth > 1) AS indirect, count(DISTINCT n.file_path) AS files,
+  CASE WHEN count(*) FILTER (WHERE depth = 1) > 10 OR count(DISTINCT n.file_path) > 10 THEN 'high' WHEN count(*) FILTER (WHERE depth = 1) > 3 THEN 'medium' ELSE 'low' END AS risk
+FROM m JOIN nodes n ON n.id = m.id WHERE depth > 0 GROUP BY n.project""")
+def g2_full_impact(nodes, edges):
+    """Impact over all edge types."""
+    return _impact(nodes, edges)
 
 
 @query("""
