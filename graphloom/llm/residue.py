@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Strings (in lower case) without which a line can't hold a case of the kind.
+# Strings (in lower case) of which the grammars of a kind need one in a line. They only save time: every
+# alternative of a grammar must hold one of its kind, and none may have a blank where a grammar takes other spaces.
 TRIGGERS = {
-    "placeholder": ("{{", "${", "#{", "<%", "{%", "%%", "[[", "@@", "__", "<<", "[todo", "<todo", "(todo", "[tbd", "[fixme", "[insert", "<insert", "[enter", "<enter", "[add", "<add", "[put", "[fill in", "(enter ", "(insert ", "[your", "<your", "[ your", "< your", "tbd", "tbc"),
-    "value": ("undefined", "[object object]", "invalid date", "null null", "none none", " nan ", " nan.", " nan,", ": null", ": none", ": nil", ": nan", "hello n", "hi n", "dear n", "welcome n", "hallo n", "hola n", "guten tag n"),
+    "placeholder": ("{{", "${", "#{", "<%", "{%", "%%", "[[", "@@", "__", "<<", "todo", "tbd", "tbc", "fixme", "insert", "enter", "add", "put", "fill in", "your"),
+    "value": ("undefined", "[object object]", "invalid date", "null", "none", "nil", "nan"),
     "filler": (
         "body copy", "heading here", "title goes", "text goes here", "content goes here", "copy goes here", "description goes here", "this is", "your own", "dummy ", "placeholder", "meant to be read", "the real ", "relleno", "sustituya",
         "hier steht", "blindtext", "hier kommt", "remplissage",
@@ -30,10 +31,8 @@ TRIGGERS = {
         "fatal", "traceback", "for nil", " on line ", "angeforderte seite", "seite nicht gefunden", "zugriff verweigert", "no se ha podido", "del servidor", "no encontrada", "acceso denegado",
     ),
     "script": ("javascript", " scripts", "scripts ", "noscript", " script", " js"),
-    "item": ("item ", "bullet ", "point "),
+    "item": ("item", "bullet", "point"),
 }
-# What a document with filler words alone must hold.
-FILLER_WORDS = ("lorem", "ipsum", "asdf", "qwer", "hjkl", "blah", "foo ", "bla ", "xxx", "test test")
 _NAME = r"[A-Za-z][A-Za-z0-9_. -]{0,40}"
 # One grammar for each delimiter style of placeholders.
 PLACEHOLDERS = tuple(
@@ -85,6 +84,9 @@ _ABOUT_VALUES = re.compile(r"\b(returns?|returned|if|when|unless|yields?|gives?|
 _LATIN = re.compile(r"^(lorem|ipsum|dol[ou]|sit(?:ar?)?$|ame[nt]|consec|adipi|elit|sed(?:ona)?$|eius|tempo|incidi|labor|magn|aliqu|veni|quis|nostr|exerc|ullam|nisi|commod|conseq|duis|aute|irure|reprehen|volup|velit|esse|cill|fugi|pariat|excep|occaec|cupid|proid|culpa|officia|deser|molli|anim|est$|ut$|et$|in$|ad$|ex$|non$|sunt$)")
 _MASH = frozenset("asdf qwer qwerty jkl asdfjkl foo bar baz qux bla blah blub xxx xx zzz test testing abc hjkl sdf lkj".split())
 _WORD = re.compile(r"[^\W\d_]+")
+_LATIN_HEADS = ("lorem", "ipsum", "dolor")
+#: What a document with filler words alone must hold.
+FILLER_WORDS = (*_LATIN_HEADS, *sorted(w for w in _MASH if not any(v in w for v in _MASH - {w})))
 
 # Phrases of filler copy, in the languages of the texts.
 FILLER = re.compile(
@@ -127,12 +129,18 @@ _ABOUT = re.compile(
 )
 
 
-def _prose(text: str) -> list[str]:
-    """The lines of a text without its code."""
+def _prose(text: str) -> str:
+    """A text without its fenced code, with plain line ends."""
     text = text.replace("\ufeff", "").replace("\r\n", "\n").replace("\r", "\n")
     if "```" in text or "~~~" in text:
         text = _FENCE.sub("\n", text)
-    return text.split("\n")
+    return text
+
+
+def _lower(text: str) -> str:
+    """Lower case, with the letters that a grammar without regard to case takes for i and s as these."""
+    low = text.lower()
+    return low if low.isascii() else low.replace("i\u0307", "i").replace("\u0131", "i").replace("\u017f", "s")
 
 
 def _any(low: str, triggers: tuple[str, ...]) -> bool:
@@ -143,14 +151,15 @@ def residue(text: str | None) -> list[str]:
     """The kinds of residue in a text: placeholder, value, filler, error, script. Null and blank texts have none."""
     if not text or not text.strip():
         return []
-    low_text = text.lower()
+    text = _prose(text)
+    low_text = _lower(_INLINE.sub(" ", text) if "`" in text else text)
     open_kinds = {k for k, triggers in TRIGGERS.items() if _any(low_text, triggers)}
     latin = _any(low_text, FILLER_WORDS)
     if not open_kinds and not latin:
         return []
     kinds: set[str] = set()
     items, paragraph = 0, []
-    for raw in [*_prose(text), ""]:
+    for raw in [*text.split("\n"), ""]:
         line = _INLINE.sub(" ", raw) if "`" in raw else raw
         if not line.strip():
             if latin and paragraph and _is_filler(paragraph):
@@ -158,7 +167,7 @@ def residue(text: str | None) -> list[str]:
             paragraph = []
             continue
         paragraph.append(line)
-        low = line.lower()
+        low = _lower(line)
         for kind in open_kinds - kinds:
             if not _any(low, TRIGGERS[kind]):
                 continue
@@ -214,7 +223,7 @@ def _is_filler(paragraph: list[str]) -> bool:
     if len(words) < 6:
         return False
     latin = sum(1 for w in words if _LATIN.match(w))
-    if latin >= 0.6 * len(words) and any(w.startswith(("lorem", "ipsum", "dolor")) for w in words):
+    if latin >= 0.6 * len(words) and any(w.startswith(_LATIN_HEADS) for w in words):
         return True
     return sum(1 for w in words if w in _MASH) >= 0.7 * len(words)
 
