@@ -181,15 +181,16 @@ def residue(text: str | None) -> list[str]:
 
 
 def _unfilled(line: str) -> bool:
-    statement = None
-    for number, grammar in enumerate(PLACEHOLDERS):
-        m = grammar.search(line)
-        if m:
-            if statement is None:
-                statement = bool(_STATEMENT.search(line[: m.start()] + line[m.end() :])) or _quoted(line, m.start(), m.end())
-            if not (statement and number in CODE_STYLES):
-                return True
-    return False
+    """Whether a placeholder of the line stands for content; the line is judged as code without any of its placeholders."""
+    found = [(m.start(), m.end(), number) for number, grammar in enumerate(PLACEHOLDERS) for m in grammar.finditer(line)]
+    if not found:
+        return False
+    rest, at = [], 0
+    for start, end, _ in sorted(found):
+        rest.append(line[at:start])
+        at = max(at, end)
+    statement = bool(_STATEMENT.search("".join(rest) + line[at:]))
+    return any(number not in CODE_STYLES or not (statement or _quoted(line, start, end)) for start, end, number in found)
 
 
 def _hollow(line: str) -> bool:
