@@ -13,9 +13,6 @@ from graphloom.llm.residue import residues
 from graphloom.llm.source_filter import not_hand_written
 from graphloom.tables import table
 
-#: Tokens of the mixture that p7_mixture_shares draws.
-MIXTURE_TOKENS = 1_000_000
-
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Files that are not hand-written."""
@@ -40,9 +37,9 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_mixture_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Shares reached by a mixture of all documents."""
+    """Shares reached by a mixture of all documents that is as large as they are."""
     targets = table(spark, d, "mix_targets")
-    return shares(mixture(table(spark, d, "documents"), targets, MIXTURE_TOKENS), targets)
+    return shares(mixture(table(spark, d, "documents"), targets), targets)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
