@@ -10,29 +10,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Strings (in lower case) of which the grammars of a kind need one in a line. They only save time: every
-# alternative of a grammar must hold one of its kind, and none may have a blank where a grammar takes other spaces.
-TRIGGERS = {
-    "placeholder": ("{{", "${", "#{", "<%", "{%", "%%", "[[", "@@", "__", "<<", "todo", "tbd", "tbc", "fixme", "insert", "enter", "add", "put", "fill in", "your"),
-    "value": ("undefined", "[object object]", "invalid date", "null", "none", "nil", "nan"),
-    "filler": (
-        "body copy", "heading here", "title goes", "text goes here", "content goes here", "copy goes here", "description goes here", "this is", "your own", "dummy ", "placeholder", "meant to be read", "the real ", "relleno", "sustituya",
-        "hier steht", "blindtext", "hier kommt", "remplissage",
-    ),
-    "error": (
-        "bad request", "unauthorized", "payment required", "forbidden", "not found", "not allowed", "request time", "410 gone", "too many requests", "server error", "bad gateway", "unavailable", "gateway time", "oops", "whoops", "uh-oh", "sorry",
-        "could not find", "couldn't find", "the page you", "denied", "your account", "you do not have", "you don't have", "you are sending", "you have ", "went wrong", "error occurred", "error has occurred", "upstream connect", "disconnect/reset", "no healthy",
-        "you asked for", "you requested", "sign in", "log in", "the link you", "no longer available", "been removed", "expired", "not available", "maintenance", "expect to be back", "be back", "not a robot", "are human", "your browser", "captcha",
-        "fatal", "traceback", "for nil", " on line ", "angeforderte seite", "seite nicht gefunden", "zugriff verweigert", "no se ha podido", "del servidor", "no encontrada", "acceso denegado",
-    ),
-    "script": ("javascript", " scripts", "scripts ", "noscript", " script", " js"),
-    "item": ("item", "bullet", "point"),
-}
 _NAME = r"[A-Za-z][A-Za-z0-9_. -]{0,40}"
 # One grammar for each delimiter style of placeholders.
 PLACEHOLDERS = tuple(
@@ -51,6 +34,9 @@ PLACEHOLDERS = tuple(
         r"(?i:[\[<]\s*(?:insert|enter|add|put|fill in)\s+[\w ]{1,40}[\]>])",
         r"(?i:\(\s*(?:enter|insert)\s+[\w ]{1,40}\))",
         r"(?i:[\[<]\s*your\s+[\w ]{1,40}(?:\s+here)?\s*[\]>])",
+        r"(?i:[\[<(]\s*[\w ]{1,40}\s+(?:goes|comes)\s+here\s*[\])>])",
+        r"(?i:[\[<]\s*(?:first|last|full|company|user|customer|client|contact|recipient)[ _]name\s*[\]>](?!\())",
+        r"(?i:^\W*(?:hello|hi|dear|welcome|hallo|hola|estimad[oa]|lieber?)\s+[\[<(]\s*\w+(?:[ _]\w+)?\s*[\])>](?!\())",
         r"(?<!\w)TBD\s+-\s+[A-Za-z]\w*",
         r"(?:^|:\s*)(?:TBD|TBC)\s*[.]?\s*$",
     )
@@ -85,8 +71,8 @@ _LATIN = re.compile(r"^(lorem|ipsum|dol[ou]|sit(?:ar?)?$|ame[nt]|consec|adipi|el
 _MASH = frozenset("asdf qwer qwerty jkl asdfjkl foo bar baz qux bla blah blub xxx xx zzz test testing abc hjkl sdf lkj".split())
 _WORD = re.compile(r"[^\W\d_]+")
 _LATIN_HEADS = ("lorem", "ipsum", "dolor")
-#: What a document with filler words alone must hold.
-FILLER_WORDS = (*_LATIN_HEADS, *sorted(w for w in _MASH if not any(v in w for v in _MASH - {w})))
+#: A paragraph of at least so many words of which one makes up this share is that word over and over.
+REPEATED_WORDS, REPEATED_SHARE = 8, 0.8
 
 # Phrases of filler copy, in the languages of the texts.
 FILLER = re.compile(
@@ -99,9 +85,12 @@ FILLER = re.compile(
 _ITEM = re.compile(r"^\s*(?:[-*+]|\d+[.)])\s+(?:item|list item|bullet|point)\s+(?:one|two|three|four|text|label|name|\d)\W*$", re.I)
 # Status lines of HTTP servers.
 _STATUS = r"(?:400 Bad Request|401 Unauthorized|402 Payment Required|403 Forbidden|404 Not Found|405 Method Not Allowed|408 Request Time-?out|410 Gone|429 Too Many Requests|500 Internal Server Error|502 Bad Gateway|503 Service (?:Temporarily )?Unavailable|504 Gateway Time-?out)"
+# Their reasons without the number, where they make up a line.
+_REASON = r"(?:Bad Request|Unauthorized|Forbidden|Method Not Allowed|Too Many Requests|Internal Server Error|Bad Gateway|Service (?:Temporarily )?Unavailable|Gateway Time-?out)"
 # Error, access and maintenance messages as a page words them to its reader.
 ERRORS = re.compile(
-    r"^\W*(?:HTTP(?:/[\d.]+)? |Error:? |HTTP Status )?" + _STATUS + r"\W*$|<title>\s*" + _STATUS + r"|<h1>\s*" + _STATUS
+    r"^\W*(?:HTTP(?:/[\d.]+)? |Error:? |HTTP Status )?" + _STATUS + r"\W*$|<title>\s*" + _STATUS + r"|<h1>\s*" + _STATUS + r"|^\W*(?:Error\W+)?" + _REASON + r"\W*$"
+    + r"|^\s*\{(?=.*\"status(?:_?code)?\"\s*:\s*\"?[45]\d\d\b).*\"(?:error|message|title)\"\s*:.*\}\s*$|\bpage (?:cannot|can't|could not) be (?:displayed|shown|loaded|opened)\b"
     + r"|^\W*(?:oops|whoops|uh-oh|sorry)\W+(?:we|this|that|the|something|you)\b.*\b(?:page|wrong|find|found|exist|error)\b|\bwe could(?: not|n't) find the page\b|\bthe page (?:you (?:were|are) looking for|you requested) (?:could not|cannot|can't|was not|does not|doesn't)\b"
     r"|^\W*(?:page|file) not found\W*$|^\W*access (?:is )?denied\W*$|^\W*access (?:is )?denied\.\s+(?:you|your)\b|\byour account (?:may|can|does|is) not\b.{0,30}\b(?:view|access|allowed|permission)|\byou (?:do not|don't) have (?:permission|access) to (?:view|access|see|this)\b"
     r"|\byou are sending (?:too many )?requests(?: too quickly)?\b|\byou have (?:sent|made) too many requests\b|\bsomething went wrong on our (?:side|end)\b|^\W*something went wrong\W|^\W*an (?:unexpected |internal |unknown )?error (?:has )?occurred\b"
@@ -143,8 +132,58 @@ def _lower(text: str) -> str:
     return low if low.isascii() else low.replace("i\u0307", "i").replace("\u0131", "i").replace("\u017f", "s")
 
 
-def _any(low: str, triggers: tuple[str, ...]) -> bool:
-    return any(t in low for t in triggers)
+def needed(pattern: str) -> frozenset[str] | None:
+    """Strings in lower case of which every match of the pattern holds one; None if there are none of use.
+
+    Read off the parsed pattern: a sequence needs what its best part needs, a choice what each of its branches needs, a
+    repetition that occurs at least once what it repeats. So a prefilter can't be narrower than its grammar.
+    """
+    return _needed(_parser.parse(pattern))
+
+
+def _needed(parsed) -> frozenset[str] | None:
+    best: frozenset[str] | None = None
+    run = ""
+
+    def offer(found: frozenset[str] | None) -> None:
+        nonlocal best
+        # the one whose shortest string is longest sorts out most texts
+        if found and (best is None or min(map(len, found)) > min(map(len, best))):
+            best = found
+
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL" and not chr(arg).isspace():
+            run += chr(arg).lower()
+            continue
+        offer(frozenset((run,)) if run else None)
+        run = ""
+        if name == "SUBPATTERN":
+            offer(_needed(arg[-1]))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] > 0:
+            offer(_needed(arg[2]))
+        elif name == "BRANCH":
+            each = [_needed(branch) for branch in arg[1]]
+            offer(frozenset().union(*each) if all(each) else None)
+    offer(frozenset((run,)) if run else None)
+    return best
+
+
+def _gate(*patterns: re.Pattern) -> tuple[str, ...]:
+    """What a line must hold one of to match one of the patterns; ("",), which every line holds, if that can't be told."""
+    each = [needed(p.pattern) for p in patterns]
+    if not all(each):
+        return ("",)
+    every = frozenset().union(*each)
+    return tuple(sorted(t for t in every if not any(o != t and o in t for o in every)))
+
+
+#: What a line must hold for each kind to be looked for, derived from the grammars.
+GATES = {"placeholder": _gate(*PLACEHOLDERS), "value": _gate(_HOLLOW_WORD), "filler": _gate(FILLER), "error": _gate(ERRORS), "script": _gate(SCRIPTS), "item": _gate(_ITEM)}
+
+
+def _any(low: str, strings: tuple[str, ...]) -> bool:
+    return any(t in low for t in strings)
 
 
 def residue(text: str | None) -> list[str]:
@@ -152,24 +191,23 @@ def residue(text: str | None) -> list[str]:
     if not text or not text.strip():
         return []
     text = _prose(text)
-    low_text = _lower(_INLINE.sub(" ", text) if "`" in text else text)
-    open_kinds = {k for k, triggers in TRIGGERS.items() if _any(low_text, triggers)}
-    latin = _any(low_text, FILLER_WORDS)
-    if not open_kinds and not latin:
-        return []
+    low_text = _lower(text)
+    open_kinds = {k for k, strings in GATES.items() if _any(low_text, strings)}
     kinds: set[str] = set()
     items, paragraph = 0, []
     for raw in [*text.split("\n"), ""]:
         line = _INLINE.sub(" ", raw) if "`" in raw else raw
         if not line.strip():
-            if latin and paragraph and _is_filler(paragraph):
+            if paragraph and _is_filler(paragraph):
                 kinds.add("filler")
             paragraph = []
             continue
         paragraph.append(line)
-        low = _lower(line)
+        if not open_kinds - kinds:
+            continue
+        low = _lower(raw)
         for kind in open_kinds - kinds:
-            if not _any(low, TRIGGERS[kind]):
+            if not _any(low, GATES[kind]):
                 continue
             if kind == "item":
                 items += bool(_ITEM.match(line))
@@ -220,13 +258,17 @@ def _says(pattern: re.Pattern, line: str) -> bool:
 
 
 def _is_filler(paragraph: list[str]) -> bool:
-    words = [w.lower() for w in _WORD.findall(" ".join(paragraph))]
+    """Whether a paragraph is pseudo-Latin, keyboard words or one word over and over, by their density."""
+    words = _WORD.findall(" ".join(paragraph).lower())
     if len(words) < 6:
         return False
-    latin = sum(1 for w in words if _LATIN.match(w))
-    if latin >= 0.6 * len(words) and any(w.startswith(_LATIN_HEADS) for w in words):
+    different = set(words)
+    few = len(words) >= REPEATED_WORDS and len(different) <= (1 - REPEATED_SHARE) * len(words) + 1
+    if few and max(map(words.count, different)) >= REPEATED_SHARE * len(words) and not _STATEMENT.search(paragraph[0]):
+        return True
+    if any(w.startswith(_LATIN_HEADS) for w in different) and sum(1 for w in words if _LATIN.match(w)) >= 0.6 * len(words):
         return True
-    return sum(1 for w in words if w in _MASH) >= 0.7 * len(words)
+    return bool(different & _MASH) and sum(1 for w in words if w in _MASH) >= 0.7 * len(words)
 
 
 def residues(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -12,3 +12,15 @@ from graphloom.llm.residue import residue
 )
 def test_all_placeholders_of_a_line(line, kinds):
     assert residue(line) == kinds
+
+
+@pytest.mark.parametrize(
+    "text, kinds",
+    [
+        ("The queue is described in <project name goes here>.", ["placeholder"]), ("Dear [name], welcome aboard", ["placeholder"]), ("Hi <first name>, thanks", ["placeholder"]), ("Ask [the team](http://x) first", []), ("Service Unavailable", ["error"]), ("This page cannot be displayed", ["error"]),
+        ('{"error": "bad_gateway", "status": 502, "request_id": "1"}', ["error"]), ('{"status": 200, "message": "ok"}', []), ("Text text text Text text text text text text.", ["filler"]), ("text text\n", []), ("The service unavailable to guests is listed below.", []),
+        ("```\n{\"error\": \"x\", \"status\": 500}\n```", []),
+    ],
+)
+def test_more_residue(text, kinds):
+    assert residue(text) == kinds

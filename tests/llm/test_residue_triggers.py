@@ -31,3 +31,8 @@ def test_mash_words_pass():
 @pytest.mark.parametrize("text", ["The function returns null or None for an empty list.", "Put your name into the todo list (see below).", "Testing the foo and bar modules needs a test account.", "Enter the room, then add water.", "The item list has a bullet point."])
 def test_prose_stays_prose(text):
     assert R.residue(text) == []
+
+
+@pytest.mark.parametrize("pattern, strings", [(r"a(?:bc|de)f", {"bc", "de"}), (r"(?:xy)?z", {"z"}), (r"(?:x|\w)+", None), (r"(?i:FOO)\s+b", {"foo"}), (r"[ab]+", None), (r"(?:long)+s?", {"long"})])
+def test_needed_strings(pattern, strings):
+    assert R.needed(pattern) == (frozenset(strings) if strings else None)
