@@ -1,19 +1,20 @@
 """Parent-child links to full hierarchies: root, depth, path and descendants of every member, cycles told apart.
 
-Levels are closed by frontier joins whose stride doubles: in round k every unresolved node holds its ancestor 2^k steps
-up, and joining that ancestor's own entry either resolves the node (the ancestor hangs from a root) or doubles the
-stride. A tree of depth d takes log2(d) + 1 joins, where one join a level would take d jobs. A round in which nothing
-resolves leaves exactly the nodes that lead into a cycle.
+The roots are the first frontier. Each level joins the frontier with the links below it, which extends root, depth and
+path by one step; every link is used once, and the rows of a level are never read again but for the result. Members that
+no level reaches are those that lead into a cycle.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.plans.lineage import SharedTables
 
-G, NODE, PAR, ANC, DIST, DONE, LOW = "link", "node_id", "par", "anc", "dist", "done", "low"
+G, NODE, PAR, ANC, LOW = "link", "node_id", "par", "anc", "low"
 
 
 def close_hierarchy(links: DataFrame, with_path: bool = False) -> DataFrame:
@@ -22,46 +23,37 @@ def close_hierarchy(links: DataFrame, with_path: bool = False) -> DataFrame:
     depth counts the steps from the root, which has depth 0; for an id on a cycle or below one, root_id is the smallest
     id on that cycle, depth is -1 and path is null. path (only ``with_path``) lists the ids from the root to the node.
 
+    There are as many rounds as the deepest tree has levels. A round joins one level, which is small against the links,
+    by parent; a parent of very many children is a hot key on the links' side alone, which adaptive execution splits.
+
     Defined cases: a row with a null parent or child is no link; repeated rows count once; of several parents of one
     child the smallest id counts; an id that is its own parent is a cycle of one; no links give no rows; further columns
     are ignored.
     """
-    spark = links.sparkSession
-    tables = SharedTables(spark, "hierarchy")
+    tables = SharedTables(links.sparkSession, "hierarchy")
     both = links.where("parent is not null and child is not null").select(
         G, F.explode(F.array(F.struct(F.col("child").alias(NODE), F.col("parent").alias(PAR)), F.struct(F.col("parent").alias(NODE), F.lit(None).cast("bigint").alias(PAR)))).alias("x")
     )
-    start = both.groupBy(G, F.col(f"x.{NODE}").alias(NODE)).agg(F.min(f"x.{PAR}").alias(PAR))
-    root = F.col(PAR).isNull()
-    cols = [G, NODE, PAR, F.when(root, F.col(NODE)).otherwise(F.col(PAR)).alias(ANC), F.when(root, F.lit(0)).otherwise(F.lit(1)).cast("bigint").alias(DIST), root.alias(DONE)]
-    if with_path:
-        # the ids below the ancestor, down to the node
-        cols.append(F.when(root, F.array().cast("array<bigint>")).otherwise(F.array(F.col(NODE))).alias("path"))
-    current = tables.put(start.select(*cols))
-    resolved, open_rows = [current.where(DONE)], current.where(f"not {DONE}")
-    left = open_rows.count()
-    while left:
-        up = [r.select(F.col(G).alias("up_link"), F.col(NODE).alias("up"), F.col(ANC).alias("up_anc"), F.col(DIST).alias("up_dist"), F.col(DONE).alias("up_done"), *([F.col("path").alias("up_path")] if with_path else [])) for r in [*resolved, open_rows]]
-        known = up[0]
-        for more in up[1:]:
-            known = known.unionByName(more)
-        step = open_rows.join(known, (F.col(G) == F.col("up_link")) & (F.col(ANC) == F.col("up"))).select(
-            G, NODE, PAR, F.col("up_anc").alias(ANC), (F.col(DIST) + F.col("up_dist")).alias(DIST), F.col("up_done").alias(DONE), *([F.concat("up_path", "path").alias("path")] if with_path else [])
+    start = tables.put(both.groupBy(G, F.col(f"x.{NODE}").alias(NODE)).agg(F.min(f"x.{PAR}").alias(PAR)))
+    below = start.where(f"{PAR} is not null").select(F.col(G).alias("down_link"), F.col(PAR).alias("up"), F.col(NODE).alias("down"))
+    top = [F.col(NODE).alias("root_id"), F.lit(0).cast("bigint").alias("depth"), *([F.array(NODE).alias("path")] if with_path else [])]
+    frontier = tables.put(start.where(f"{PAR} is null").select(G, NODE, *top))
+    levels, members, reached = [frontier], start.count(), frontier.count()
+    new = reached
+    while new and reached < members:
+        step = below.join(frontier, (F.col(G) == F.col("down_link")) & (F.col(NODE) == F.col("up"))).select(
+            G, F.col("down").alias(NODE), "root_id", (F.col("depth") + 1).alias("depth"), *([F.concat("path", F.array("down")).alias("path")] if with_path else [])
         )
-        current = tables.put(step)
-        now = current.where(f"not {DONE}").count()
-        if now == left:  # nothing resolved: all that is left leads into a cycle
-            break
-        resolved.append(current.where(DONE))
-        open_rows, left = current.where(f"not {DONE}"), now
-    path = F.concat(F.array(ANC), F.col("path")) if with_path else None
-    out = resolved[0]
-    for more in resolved[1:]:
-        out = out.unionByName(more)
-    out = out.select(G, NODE, F.col(ANC).alias("root_id"), F.col(DIST).alias("depth"), *([path.alias("path")] if with_path else []))
-    if left:
-        cyclic = _cycle_roots(open_rows.select(G, NODE, PAR), tables)
-        out = out.unionByName(cyclic.select(G, NODE, "root_id", F.lit(-1).cast("bigint").alias("depth"), *([F.lit(None).cast("array<bigint>").alias("path")] if with_path else [])))
+        frontier = tables.put(step)
+        new = frontier.count()
+        levels.append(frontier)
+        reached += new
+    out = reduce(DataFrame.unionByName, levels)
+    if reached < members:  # a level brought nothing new: the rest leads into cycles
+        known = out.select(F.col(G).alias("known_link"), F.col(NODE).alias("known"))
+        lost = start.join(known, (F.col(G) == F.col("known_link")) & (F.col(NODE) == F.col("known")), "left_anti")
+        cyclic = _cycle_roots(lost, tables).select(G, NODE, "root_id", F.lit(-1).cast("bigint").alias("depth"), *([F.lit(None).cast("array<bigint>").alias("path")] if with_path else []))
+        out = out.unionByName(cyclic)
     return out
 
 
@@ -71,13 +63,13 @@ def _cycle_roots(looped: DataFrame, tables: SharedTables) -> DataFrame:
     Each round doubles the stride: ``anc`` is the node 2^k steps on and ``low`` the smallest id of the steps before it.
     Once 2^k steps reach round the cycle, the low of anc is the cycle's smallest id and agrees along every link.
     """
-    current = tables.put(looped.select(G, NODE, PAR, F.col(PAR).alias(ANC), F.col(NODE).alias(LOW)))
+    current = tables.replace(looped.select(G, NODE, PAR, F.col(PAR).alias(ANC), F.col(NODE).alias(LOW)))
     while True:
         ahead = current.select(F.col(G).alias("up_link"), F.col(NODE).alias("up"), F.col(ANC).alias("up_anc"), F.col(LOW).alias("up_low"))
         step = current.join(ahead, (F.col(G) == F.col("up_link")) & (F.col(ANC) == F.col("up"))).select(
             G, NODE, PAR, F.col("up_anc").alias(ANC), F.least(LOW, "up_low").alias(LOW), F.col("up_low").alias("root_id")
         )
-        current = tables.put(step)
+        current = tables.replace(step)
         above = current.select(F.col(G).alias("up_link"), F.col(NODE).alias("above"), F.col("root_id").alias("above_root"))
         differing = current.join(above, (F.col(G) == F.col("up_link")) & (F.col(PAR) == F.col("above"))).where("root_id <> above_root")
         if not differing.limit(1).count():

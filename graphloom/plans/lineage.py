@@ -42,13 +42,31 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_ROOTS: list[tuple[SparkSession, str]] = []
+
+
+def _drop_roots() -> None:
+    for spark, root in _ROOTS:
+        try:
+            delete_path(spark, root)
+        except Exception:  # noqa: BLE001 - the session may have ended before
+            pass
+
+
 class SharedTables:
-    """Generations of intermediate tables in the shared folder; ``drop`` removes one when its successor is written."""
+    """Generations of intermediate tables in the shared folder.
+
+    ``replace`` drops a generation once its successor is written. What results still read stays until the driver's
+    process ends, or until ``close`` is called.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/graphloom/{label}-{uuid.uuid4().hex}"
-        self._n = 0
+        self._n, self._replaced = 0, None
+        if not _ROOTS:
+            atexit.register(_drop_roots)  # runs before the gateway's own handler, which was registered earlier
+        _ROOTS.append((spark, self.root))
 
     def put(self, df: DataFrame) -> DataFrame:
         """Write the rows and return a scan of them."""
@@ -57,5 +75,14 @@ class SharedTables:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, index: int) -> None:
-        delete_path(self.spark, f"{self.root}/t{index}")
+    def replace(self, df: DataFrame) -> DataFrame:
+        """``put``, and drop the table that the previous call of ``replace`` wrote; nothing may read that one any more."""
+        old, self._replaced = self._replaced, self._n
+        out = self.put(df)
+        if old is not None:
+            delete_path(self.spark, f"{self.root}/t{old}")
+        return out
+
+    def close(self) -> None:
+        """Drop all tables."""
+        delete_path(self.spark, self.root)
