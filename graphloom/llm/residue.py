@@ -11,7 +11,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from re import _parser
+from typing import NamedTuple
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -133,57 +135,107 @@ def _lower(text: str) -> str:
 
 
 def needed(pattern: str) -> frozenset[str] | None:
-    """Strings in lower case of which every match of the pattern holds one; None if there are none of use.
+    """Strings in lower case of which every match of the pattern holds one; None if there are none of use."""
+    return max(clauses(pattern), key=_worth, default=None)
 
-    Read off the parsed pattern: a sequence needs what its best part needs, a choice what each of its branches needs, a
-    repetition that occurs at least once what it repeats. So a prefilter can't be narrower than its grammar.
+
+def clauses(pattern: str) -> list[frozenset[str]]:
+    """Sets of strings in lower case; every match of the pattern holds one string of each set.
+
+    Read off the parsed pattern: a sequence needs all that its parts need, a choice what one or other of its branches
+    needs, a repetition that occurs at least once what it repeats. So a prefilter can't be narrower than its grammar.
     """
-    return _needed(_parser.parse(pattern))
+    return _clauses(_parser.parse(pattern))
 
 
-def _needed(parsed) -> frozenset[str] | None:
-    best: frozenset[str] | None = None
-    run = ""
+def _worth(clause: frozenset[str]) -> int:
+    """The length of the clause's shortest string: long ones sort out most texts."""
+    return min(map(len, clause))
 
-    def offer(found: frozenset[str] | None) -> None:
-        nonlocal best
-        # the one whose shortest string is longest sorts out most texts
-        if found and (best is None or min(map(len, found)) > min(map(len, best))):
-            best = found
 
+def _clauses(parsed) -> list[frozenset[str]]:
+    out: list[frozenset[str]] = []
+    run = ""
     for op, arg in parsed:
         name = str(op)
         if name == "LITERAL" and not chr(arg).isspace():
             run += chr(arg).lower()
             continue
-        offer(frozenset((run,)) if run else None)
-        run = ""
+        if run:
+            out.append(frozenset((run,)))
+            run = ""
         if name == "SUBPATTERN":
-            offer(_needed(arg[-1]))
+            out += _clauses(arg[-1])
         elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] > 0:
-            offer(_needed(arg[2]))
+            out += _clauses(arg[2])
         elif name == "BRANCH":
-            each = [_needed(branch) for branch in arg[1]]
-            offer(frozenset().union(*each) if all(each) else None)
-    offer(frozenset((run,)) if run else None)
-    return best
-
-
-def _gate(*patterns: re.Pattern) -> tuple[str, ...]:
-    """What a line must hold one of to match one of the patterns; ("",), which every line holds, if that can't be told."""
-    each = [needed(p.pattern) for p in patterns]
-    if not all(each):
-        return ("",)
-    every = frozenset().union(*each)
-    return tuple(sorted(t for t in every if not any(o != t and o in t for o in every)))
-
-
-#: What a line must hold for each kind to be looked for, derived from the grammars.
-GATES = {"placeholder": _gate(*PLACEHOLDERS), "value": _gate(_HOLLOW_WORD), "filler": _gate(FILLER), "error": _gate(ERRORS), "script": _gate(SCRIPTS), "item": _gate(_ITEM)}
-
-
-def _any(low: str, strings: tuple[str, ...]) -> bool:
-    return any(t in low for t in strings)
+            each = [_clauses(branch) for branch in arg[1]]
+            if all(each):
+                out.append(frozenset().union(*(max(c, key=_worth) for c in each)))
+        elif name == "IN" and all(str(o) == "LITERAL" for o, _ in arg) and not any(chr(c).isalnum() or chr(c).isspace() for _, c in arg):
+            out.append(frozenset(chr(c) for _, c in arg))
+    if run:
+        out.append(frozenset((run,)))
+    return out
+
+
+def alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern's outermost choice."""
+    out, start, depth, i, bracket = [], 0, 0, 0, False
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif bracket:
+            bracket = c != "]" or i == opened + 1
+        elif c == "[":
+            bracket, opened = True, i + (pattern[i + 1] == "^")
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            out.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return [*out, pattern[start:]]
+
+
+class Rule(NamedTuple):
+    """One grammar or alternative of a kind, with the literals (as bit masks) that a text must hold for it."""
+
+    kind: str
+    number: int
+    pattern: re.Pattern
+    masks: tuple[int, ...]
+
+
+def _rules() -> tuple[list[Rule], ahocorasick.Automaton]:
+    literals: dict[str, int] = {}
+    rules = []
+    for kind, patterns in (
+        ("placeholder", [(p.pattern, p.flags) for p in PLACEHOLDERS]), ("value", [(_HOLLOW_WORD.pattern, 0)]), ("item", [(_ITEM.pattern, re.I)]),
+        *((k, [(x, re.I) for x in alternatives(p.pattern)]) for k, p in (("filler", FILLER), ("error", ERRORS), ("script", SCRIPTS))),
+    ):
+        for number, (source, flags) in enumerate(patterns):
+            wanted = [c for c in clauses(source) if _worth(c) > 1 or not any(t.isalnum() for t in c)]
+            masks = tuple(sum(1 << literals.setdefault(t, len(literals)) for t in c) for c in sorted(wanted, key=lambda c: (-_worth(c), sorted(c))))
+            rules.append(Rule(kind, number, re.compile(source, flags), masks))
+    found = ahocorasick.Automaton()
+    for t, bit in literals.items():
+        found.add_word(t, 1 << bit)
+    found.make_automaton()
+    return rules, found
+
+
+RULES, _LITERALS = _rules()
+_VALUES = tuple(sorted(needed(_HOLLOW_WORD.pattern)))
+
+
+def active_rules(text: str) -> list[Rule]:
+    """The rules whose literals the text holds, found in one pass over it."""
+    held = 0
+    for _, bit in _LITERALS.iter(_lower(text)):
+        held |= bit
+    return [r for r in RULES if all(held & m for m in r.masks)]
 
 
 def residue(text: str | None) -> list[str]:
@@ -191,36 +243,46 @@ def residue(text: str | None) -> list[str]:
     if not text or not text.strip():
         return []
     text = _prose(text)
-    low_text = _lower(text)
-    open_kinds = {k for k, strings in GATES.items() if _any(low_text, strings)}
+    rules: dict[str, list[Rule]] = {}
+    for r in active_rules(text):
+        rules.setdefault(r.kind, []).append(r)
     kinds: set[str] = set()
     items, paragraph = 0, []
     for raw in [*text.split("\n"), ""]:
-        line = _INLINE.sub(" ", raw) if "`" in raw else raw
-        if not line.strip():
-            if paragraph and _is_filler(paragraph):
+        if not raw.strip():
+            if paragraph and "filler" not in kinds and _is_filler(paragraph):
                 kinds.add("filler")
             paragraph = []
             continue
-        paragraph.append(line)
-        if not open_kinds - kinds:
-            continue
-        low = _lower(raw)
-        for kind in open_kinds - kinds:
-            if not _any(low, GATES[kind]):
+        line = _INLINE.sub(" ", raw) if "`" in raw else raw
+        if line.strip():
+            paragraph.append(line)
+        for kind, own in rules.items():
+            if kind in kinds:
                 continue
             if kind == "item":
                 items += bool(_ITEM.match(line))
-            elif {"placeholder": _unfilled, "value": _hollow, "filler": FILLER.search, "error": _is_error, "script": _is_script}[kind](raw if kind in ("error", "script") else line):
+            elif _holds(kind, own, raw if kind in ("error", "script") else line):
                 kinds.add(kind)
     if items > 2:
         kinds.add("filler")
     return sorted(kinds)
 
 
-def _unfilled(line: str) -> bool:
+def _holds(kind: str, rules: list[Rule], line: str) -> bool:
+    """Whether a line holds residue of the kind, judged by the rules that its text can match."""
+    if kind == "placeholder":
+        return _unfilled(line, rules)
+    if kind == "value":
+        return any(v in line.lower() for v in _VALUES) and _hollow(line)
+    if kind == "filler":
+        return any(r.pattern.search(line) for r in rules)
+    return any(_says(r.pattern, line) for r in rules)
+
+
+def _unfilled(line: str, rules: list[Rule]) -> bool:
     """Whether a placeholder of the line stands for content; the line is judged as code without any of its placeholders."""
-    found = [(m.start(), m.end(), number) for number, grammar in enumerate(PLACEHOLDERS) for m in grammar.finditer(line)]
+    found = [(m.start(), m.end(), r.number) for r in rules for m in r.pattern.finditer(line)]
     if not found:
         return False
     rest, at = [], 0
@@ -236,14 +298,6 @@ def _hollow(line: str) -> bool:
     return bool(found) and not _STATEMENT.search(line) and (any(p.search(line) for p in _FAILED) or (len(found) > 1 and not _ABOUT_VALUES.search(line)))
 
 
-def _is_error(line: str) -> bool:
-    return _says(ERRORS, line)
-
-
-def _is_script(line: str) -> bool:
-    return _says(SCRIPTS, line)
-
-
 def _quoted(line: str, start: int, end: int) -> bool:
     return start > 0 and end < len(line) and line[start - 1] in "\"'“‘`" and line[end] in "\"'”’`"
 
