@@ -1,20 +1,30 @@
 """Functions paired with their documentation.
 
-All comments of a source text are candidates for all functions declared in it. A link is scored by the distance between
-comment and declaration, by parameter tags that name the function's parameters and by mentions of its name; links across
-code are implausible. The best one-to-one assignment decides, and descriptions that tell nothing are dropped.
+The comments of a source text, and documentation recorded apart from it, are candidates for the functions declared in it.
+A comment can belong to the declaration that follows it, to the one whose body it opens, and to any later one it names. A
+link is scored by the distance between comment and declaration, by parameter tags that name the function's parameters, by
+mentions of its name and of other functions' names; links that reach no least score are implausible. The best one-to-one
+assignment decides, and descriptions that tell nothing are dropped.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import deque
+from collections.abc import Iterator, Mapping, Sequence
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.sources.extract import end_lines
+
+#: Scores: a recorded documentation, a comment that touches its declaration, a mention of the name, of another function's
+#: name instead, and parameter tags that all fit; the least score of a plausible link.
+RECORDED, TOUCHING, NAMED, OTHER_NAMED, TAGGED, PLAUSIBLE = 6.0, 2.0, 0.75, -0.5, 1.0, 1.0
+
 # Comment marks at the ends of a line.
 _OPENING = re.compile(r"^\s*(?:/\*+!?|\*+/|\*(?!\w)|/{2,}!?|#+(?![\[!])|--+(?=\s|$)|;;+|[rRuUbB]{0,2}\"\"\"|[rRuUbB]{0,2}'''|<!--|%+(?=\s|$))?[ \t]*")
 _CLOSING = re.compile(r"[ \t]*(?:\*+/|\"\"\"|'''|-->)?[ \t]*$")
@@ -108,65 +118,105 @@ def comments(lines: list[str], declared: list[Function]) -> list[Comment]:
     return out
 
 
-def link_score(c: Comment, f: Function, lines: list[str]) -> float:
-    """How plausible it is that the comment documents the function; 0 for implausible links."""
+def link_score(c: Comment, f: Function, lines: list[str], others: frozenset[str] = frozenset()) -> float:
+    """How plausible it is that the comment documents the function; 0 for implausible links.
+
+    ``others`` are the names of the text's other functions. A comment that neither touches the declaration nor opens its
+    body needs evidence by name or tags.
+    """
     if c.opens_body:
-        near = c.first > f.line and not any(_WORD.search(x) for x in lines[f.line + 1 : c.first] if not re.search(r"[(),]|->|:\s*$", x))
-        between = []
+        if c.first <= f.line or any(_WORD.search(x) for x in lines[f.line + 1 : c.first] if not re.search(r"[(),]|->|:\s*$", x)):
+            return 0.0
+        distance, score = c.first - f.line, TOUCHING
     else:
-        near = c.last < f.line
-        between = [x for x in lines[c.last + 1 : f.line] if x.strip() and not _ATTRIBUTE.match(x) and not _LINE_COMMENT.match(x)]
-    if not near or between:
-        return 0.0
-    distance = (c.first - f.line) if c.opens_body else (f.line - c.last)
+        if c.last >= f.line:
+            return 0.0
+        apart = any(x.strip() and not _ATTRIBUTE.match(x) and not _LINE_COMMENT.match(x) for x in lines[c.last + 1 : f.line])
+        distance, score = f.line - c.last, 0.0 if apart else TOUCHING
+    said = frozenset(re.findall(r"\w+", c.text))
+    score += (1.0 if score else 0.5) / distance
     tags = {a or b for a, b in _PARAMETER_TAG.findall(c.text)}
-    score = 2.0 + 1.0 / distance
-    if tags and f.parameters:
-        score += len(tags & f.parameters) / len(tags)
-    if re.search(rf"\b{re.escape(f.name)}\b", c.text):
-        score += 0.5
-    return score
-
-
-def assign(score: list[list[float]]) -> dict[int, int]:
-    """The one-to-one assignment of columns to rows with the greatest total score, links of score 0 left out."""
-    if not score or not score[0]:
-        return {}
-    n, m = len(score), max(len(score), len(score[0]))
-    cost = [[-(r[j] if j < len(r) else 0.0) for j in range(m)] for r in score]
-    u, v, match, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
-    for i in range(1, n + 1):  # shortest augmenting paths
-        match[0], j0 = i, 0
-        low, used = [float("inf")] * (m + 1), [False] * (m + 1)
-        while match[j0]:
-            used[j0] = True
-            i0, delta, j1 = match[j0], float("inf"), 0
-            for j in range(1, m + 1):
-                if not used[j]:
-                    reduced = cost[i0 - 1][j - 1] - u[i0] - v[j]
-                    if reduced < low[j]:
-                        low[j], way[j] = reduced, j0
-                    if low[j] < delta:
-                        delta, j1 = low[j], j
-            for j in range(m + 1):
-                if used[j]:
-                    u[match[j]] += delta
-                    v[j] -= delta
-                else:
-                    low[j] -= delta
-            j0 = j1
-        while j0:
-            match[j0] = match[way[j0]]
-            j0 = way[j0]
-    return {match[j] - 1: j - 1 for j in range(1, m + 1) if match[j] and j <= len(score[0]) and score[match[j] - 1][j - 1] > 0}
+    if tags:
+        score += TAGGED * len(tags & f.parameters) / len(tags)
+    if f.name in said:
+        score += NAMED
+    elif said & others:
+        score += OTHER_NAMED
+    return score if score >= PLAUSIBLE else 0.0
+
+
+def plausible_links(declared: list[Function], found: list[Comment], lines: list[str]) -> list[dict[int, float]]:
+    """For each function the comments that may document it, with their scores.
+
+    Compared are a comment and the declarations it opens, precedes next or names, not all pairs.
+    """
+    at = [f.line for f in declared]
+    named: dict[str, list[int]] = {}
+    for i, f in enumerate(declared):
+        named.setdefault(f.name, []).append(i)
+    names = frozenset(named)
+    out: list[dict[int, float]] = [{} for _ in declared]
+    for j, c in enumerate(found):
+        near = bisect_right(at, c.first if c.opens_body else c.last) - (1 if c.opens_body else 0)
+        wanted = {near} if 0 <= near < len(declared) else set()
+        wanted.update(i for w in frozenset(re.findall(r"\w+", c.text)) & names for i in named[w])
+        for i in wanted:
+            score = link_score(c, declared[i], lines, names - {declared[i].name})
+            if score:
+                out[i][j] = score
+    return out
+
+
+def assign(score: Sequence[Sequence[float] | Mapping[int, float]]) -> dict[int, int]:
+    """The one-to-one assignment of columns to rows with the greatest total score; a row is a mapping or a full list.
+
+    Rows are added one by one, each along the alternating path of greatest gain, which may end at a free column or leave
+    another row without one. Only links of positive score are walked, so unconnected parts of a text cost nothing.
+    """
+    links = [{j: w for j, w in (r.items() if isinstance(r, Mapping) else enumerate(r)) if w > 0} for r in score]
+    holder: dict[int, int] = {}
+    held: dict[int, int] = {}
+    for start in range(len(links)):
+        gain, via, queue = {start: 0.0}, {}, deque([start])
+        best, last, free = 1e-9, None, None
+        while queue:
+            r = queue.popleft()
+            for c, w in links[r].items():
+                if held.get(r) == c:
+                    continue
+                g, owner = gain[r] + w, holder.get(c)
+                if owner is None:
+                    if g > best:
+                        best, last, free = g, r, c
+                elif g - links[owner][c] > gain.get(owner, -1e300) + 1e-9:
+                    gain[owner], via[owner] = g - links[owner][c], (r, c)
+                    queue.append(owner)
+        for r, g in gain.items():
+            if r != start and g > best:
+                best, last, free = g, r, None
+        if last is None:
+            continue
+        r = last
+        if free is None:
+            del held[r]
+        else:
+            held[r], holder[free] = free, r
+        while r != start:
+            r, c = via[r]
+            held[r], holder[c] = c, r
+    return held
+
+
+def source_lines(text: str) -> list[str]:
+    return text.replace("\r\n", "\n").split("\n")
 
 
 def documented(text: str) -> list[tuple[Function, str]]:
     """Each function declared in a source text with the comment assigned to it ("" if there is none)."""
-    lines = text.replace("\r\n", "\n").split("\n")
+    lines = source_lines(text)
     declared = functions(lines)
     found = comments(lines, declared)
-    linked = assign([[link_score(c, f, lines) for c in found] for f in declared])
+    linked = assign(plausible_links(declared, found, lines))
     return [(f, found[linked[i]].text if i in linked else "") for i, f in enumerate(declared)]
 
 
@@ -234,19 +284,23 @@ def description(comment: str, name: str | None) -> str:
 
 
 def describe(name: str | None, docstring: str | None, body: str | None) -> str:
-    """The description of a function whose text is ``body``: its docstring or else the comment assigned to it."""
-    if docstring and plain(docstring):
-        return description(docstring, name)
-    if not body:
-        return ""
-    lines = body.replace("\r\n", "\n").split("\n")
-    top = next((x.lstrip() for x in lines if x.strip()), "")
-    if not top.startswith(("/*", "//", "#", "--")) and "\"" not in body and "'" not in body:
-        return ""
-    for f, comment in documented(body):
-        if name is None or f.name == name:
-            return description(comment, name) if comment else ""
-    return ""
+    """The description of a function whose text is ``body``: of what assignment links to it, recorded or in the text."""
+    lines = source_lines(body or "")
+    declared = functions(lines)
+    own = next((i for i, f in enumerate(declared) if name is None or f.name == name), None)
+    recorded = docstring if docstring and plain(docstring) else None
+    if own is None:
+        if recorded is None:
+            return ""
+        own = len(declared)  # a declaration in a form unknown here, taken to come last
+        declared = [*declared, Function(len(lines), name or "", frozenset())]
+    found = comments(lines, declared[: own + 1] if declared[own].line < len(lines) else declared[:own])
+    links = plausible_links(declared, found, lines)
+    if recorded is not None:
+        links[own][len(found)] = RECORDED
+        found.append(Comment(declared[own].line, declared[own].line, recorded, True))
+    linked = assign(links)
+    return description(found[linked[own]].text, name) if own in linked else ""
 
 
 def code_description_pairs(symbols: DataFrame, id_col: str = "symbol_id") -> DataFrame:
@@ -279,3 +333,28 @@ def described_symbols(symbols: DataFrame, id_col: str = "symbol_id") -> DataFram
             yield pdf.loc[held, ["symbol_id"]]
 
     return wanted.mapInPandas(run, f"symbol_id {kind}").distinct()
+
+
+def file_pairs(files: DataFrame, content: str = "content", keep: tuple[str, ...] = ("rel_path",)) -> DataFrame:
+    """(keep..., name, line, code, description) of every function in whole source files whose documentation tells something.
+
+    Defined cases: null and empty contents have no functions; line counts from 1; code runs from the declaration to its
+    last line; repeated files give repeated rows; empty tables give no rows; further columns are ignored.
+    """
+    spec = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in keep)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for key, text in zip(pdf[list(keep)].itertuples(index=False, name=None), pdf["__text"]):
+                if not text:
+                    continue
+                lines, found = source_lines(text), documented(text)
+                ends = end_lines("\n".join(lines), [f.line for f, _ in found])
+                for (f, comment), end in zip(found, ends):
+                    told = description(comment, f.name) if comment else ""
+                    if told:
+                        rows.append((*key, f.name, f.line + 1, "\n".join(lines[f.line : end]), told))
+            yield pd.DataFrame(rows, columns=[*keep, "name", "line", "code", "description"])
+
+    return files.select(*keep, F.col(content).alias("__text")).mapInPandas(run, f"{spec}, name string, line int, code string, description string")

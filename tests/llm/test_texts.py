@@ -52,3 +52,39 @@ def test_pairs(frame):
     assert [r[0] for r in P.described_symbols(df).orderBy("symbol_id").collect()] == [1, 2]
     assert {(r["symbol_id"], P.plain(r["description"])) for r in P.code_description_pairs(df).collect()} == {(1, "Sums the parts."), (2, "Opens the gate.")}
     assert P.described_symbols(df.limit(0)).count() == 0
+
+
+def test_links_by_name_and_blocks():
+    text = "# Notes on total: sums the parts.\nimport x\n\n# Splits a list.\ndef split(a):\n    pass\n\n\ndef total(a):\n    return 1\n"
+    assert [(f.name, P.plain(c)) for f, c in P.documented(text)] == [("split", "Splits a list."), ("total", "")]
+    text = "# total sums the parts.\nx = 1\ndef total(a):\n    return 1\n"
+    assert [(f.name, P.plain(c)) for f, c in P.documented(text)] == [("total", "total sums the parts.")]
+    many = "".join(f"# Does step {i} of the plan.\ndef step{i}(a):\n    return {i}\n\n" for i in range(3000))
+    assert all(c for _, c in P.documented(many))
+
+
+def test_assignment_is_best():
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    for _ in range(60):
+        n, m = rng.randrange(1, 5), rng.randrange(1, 5)
+        score = [[rng.choice([0.0, 0.0, 1.0, 2.5, 3.0, rng.random()]) for _ in range(m)] for _ in range(n)]
+        best = max(sum(score[i][j] for i, j in zip(range(n), p) if j < m) for p in itertools.permutations(range(m + n), n))
+        got = P.assign(score)
+        assert len(set(got.values())) == len(got) and abs(sum(score[i][j] for i, j in got.items()) - best) < 1e-9
+
+
+def test_recorded_documentation_competes():
+    body = "// Closes the gate.\nfn shut() {}"
+    assert P.describe("shut", None, body) == "Closes the gate."
+    assert P.describe("shut", "Locks it for good.", body) == "Locks it for good."
+    assert P.describe("shut", " /** */ ", body) == "Closes the gate."
+    assert P.describe("other", "Locks it for good.", "???") == "Locks it for good." and P.describe("other", None, "???") == ""
+
+
+def test_file_pairs(frame):
+    text = "// Adds two numbers.\nfunc add(a int) int {\n  return a // }\n}\n\nfunc bare() {}\n\n/* TODO */\nfunc later() {\n}\n"
+    rows = P.file_pairs(frame([("a.go", text, 1), ("b.go", None, 2), ("c.go", "", 3)], "rel_path string, content string, code int")).collect()
+    assert [tuple(r) for r in rows] == [("a.go", "add", 2, "func add(a int) int {\n  return a // }\n}", "Adds two numbers.")]
