@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm import source_filter as S
 from graphloom.llm.doc_pairs import described_symbols
 from graphloom.llm.leakage import leaks
 from graphloom.llm.mixing import mixture, shares
@@ -15,8 +18,9 @@ from graphloom.tables import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Files that are not hand-written."""
-    return not_hand_written(table(spark, d, "file_hashes"), table(spark, d, "nodes")).select("project", "rel_path")
+    """Files that are not hand-written, by the layout of their symbols' texts, size and lines, header and place."""
+    bodies = table(spark, d, "ts_symbols").where("body_text is not null").select("project", F.col("file_path").alias("rel_path"), F.col("body_text").alias("content"))
+    return not_hand_written(table(spark, d, "file_hashes"), table(spark, d, "nodes"), bodies, fragments=True).select("project", "rel_path")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -51,9 +55,38 @@ QUERIES = {
     "p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_mixture_shares": p7_mixture_shares, "p8_found": p8_found,
 }
 
-# p6 as SQL: all 13-word runs of either side. The others judge text in ways that SQL can't express, or are too slow in it
-# on whole tables (p4); their tests compare them with brute force and cases of known answer.
+
+def _matches(column: str, patterns) -> str:
+    return f"coalesce(regexp_matches({column}, '" + "|".join(f"(?:{p})" for p in patterns).replace("'", "''") + "'), false)"
+
+
+def _folder(names) -> str:
+    return "coalesce(regexp_matches(p, '(^|/)(" + "|".join(re.escape(n) for n in names) + ")/'), false)"
+
+
+# p1 in SQL judges by place, header, size and lines; the lexed texts, which SQL can't judge, add nothing on these tables.
+# p4 in SQL compares all sets that share a run. p6 in SQL lists all 13-word runs of either side. p5 and p8 judge text in
+# ways that SQL can't express; their tests hold cases of known answer.
 ORACLES: dict[str, str] = {
+    "p1_found": rf"""
+WITH f AS (SELECT project, rel_path, max(size) AS size, regexp_replace(regexp_replace(rel_path, '[\\/]+', '/', 'g'), '^(\./)*/?', '') AS at FROM file_hashes WHERE rel_path IS NOT NULL GROUP BY project, rel_path),
+n AS (SELECT project, regexp_replace(regexp_replace(file_path, '[\\/]+', '/', 'g'), '^(\./)*/?', '') AS at, max(json_extract_string(properties, '$.header')) AS header,
+  max(coalesce(TRY_CAST(json_extract_string(properties, '$.line_count') AS BIGINT), end_line)) AS line_count FROM nodes WHERE label = 'File' AND file_path IS NOT NULL GROUP BY ALL),
+k AS (SELECT f.project, f.rel_path, lower(f.at) AS p, regexp_extract(lower(f.at), '[^/]*$') AS name, lower(n.header) AS h, CASE WHEN n.line_count > 0 THEN f.size / {float(S.CANONICAL_WIDTH)} / n.line_count END AS x
+  FROM f LEFT JOIN n ON n.project IS NOT DISTINCT FROM f.project AND n.at = f.at)
+SELECT project, rel_path FROM k WHERE {_matches('h', S.COPY_HEADERS)} OR {_matches('h', S.TOOL_HEADERS)} OR {_folder(S.VENDOR_FOLDERS)} OR {_folder(S.OUTPUT_FOLDERS)}
+  OR (regexp_matches(p, '(^|/)vendor/[^/]+/') AND NOT regexp_matches(p, '(^|/)(java|kotlin|scala)/(.*/)?vendor/')) OR regexp_matches(p, '(^|/)(assets|public|static|web|www|js|css)/vendor/')
+  OR {_matches('name', (S.RELEASE_NAME, *S.OUTPUT_NAMES, *S.DELIVERY_NAMES))} OR regexp_matches(regexp_extract(name, '{S.HASHED_NAME}', 1), '[0-9]')
+  OR (x IS NULL AND regexp_matches(p, '(^|/)(data|fixtures|testdata)/[^/]*_(map|table|dump|blob)\.[a-z]+$')) OR coalesce(x, 0) >= {S.EXPANDED}
+""",
+    "p4_found": r"""
+WITH b AS (SELECT DISTINCT symbol_id, regexp_extract_all(lower(body_text), '[a-z0-9_]+') AS w FROM ts_symbols
+  WHERE label IN ('Function', 'Method') AND len(regexp_extract_all(body_text, '\r\n|\r|\n')) >= 7),
+runs AS (SELECT DISTINCT symbol_id, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS run FROM b WHERE len(w) >= 3),
+n AS (SELECT symbol_id, count(*) AS n FROM runs GROUP BY symbol_id),
+met AS (SELECT a.symbol_id AS a, b.symbol_id AS b, count(*) AS m FROM runs a JOIN runs b ON a.run = b.run AND a.symbol_id < b.symbol_id GROUP BY ALL)
+SELECT a AS symbol_a, b AS symbol_b FROM met JOIN n x ON x.symbol_id = a JOIN n y ON y.symbol_id = b WHERE m / (x.n + y.n - m)::DOUBLE >= 0.7
+""",
     "p6_found": r"""
 WITH w AS (
   SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+') AS w FROM documents WHERE text IS NOT NULL

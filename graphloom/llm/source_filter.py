@@ -35,7 +35,9 @@ OUTPUT_NAMES = (
     r"^lex\d*\.yy\.(c|cc|cpp)$", r"_wrap\.(c|cc|cpp|cxx)$", r"^moc_.*\.(c|cc|cpp)$", r"^ui_.*\.h$", r"^qrc_.*\.cpp$",
 )
 # Names of files compressed or bundled for delivery.
-DELIVERY_NAMES = (r"[.-]min\.(js|mjs|css)$", r"\.bundle\.(js|mjs|css)$", r"[.-](?=[0-9a-f]*\d)[0-9a-f]{8,}\.(js|mjs|css)$")
+DELIVERY_NAMES = (r"[.-]min\.(js|mjs|css)$", r"\.bundle\.(js|mjs|css)$")
+# A name with the hash of its content (group 1), which must hold a digit.
+HASHED_NAME = r"[.-]([0-9a-f]{8,})\.(js|mjs|css)$"
 # A library saved under its name and release.
 RELEASE_NAME = r"^[a-z][\w.-]*?[-_.]v?\d+\.\d+\.\d+([.-](min|slim|umd))?\.(js|mjs|css)$"
 # What tools and importers write into the first line.
@@ -90,7 +92,7 @@ def layout(text: str) -> tuple[int, int, float, float]:
 
 
 def layouts(files: DataFrame, content: str = "content", keep: tuple[str, ...] = ("project", "rel_path")) -> DataFrame:
-    """The layout of each file's whole text: the ``keep`` columns, lines, canonical_lines, literal_share, one_shape.
+    """The layout of each text: the ``keep`` columns, lines, canonical_lines, literal_share, one_shape.
 
     Null and empty texts have no lines.
     """
@@ -120,6 +122,7 @@ def judge(path: Column, header: Column, expansion: Column, literal_share: Column
     folder = lambda names: p.rlike(r"(^|/)(" + "|".join(re.escape(x) for x in names) + r")/")
     any_of = lambda c, patterns: c.rlike("|".join(f"(?:{x})" for x in patterns))
     # a folder "vendor" counts if a package folder follows or assets lie in it; below a Java root it is a package name
+    hashed = F.regexp_extract(name, HASHED_NAME, 1).rlike(r"\d")
     vendor = (p.rlike(r"(^|/)vendor/[^/]+/") & ~p.rlike(r"(^|/)(java|kotlin|scala)/(.*/)?vendor/")) | p.rlike(r"(^|/)(assets|public|static|web|www|js|css)/vendor/")
     data_name = p.rlike(r"(^|/)(data|fixtures|testdata)/[^/]*_(map|table|dump|blob)\.[a-z]+$") & expansion.isNull()
     shaped = F.coalesce(one_shape, F.lit(0.0)) if one_shape is not None else F.lit(0.0)
@@ -129,16 +132,29 @@ def judge(path: Column, header: Column, expansion: Column, literal_share: Column
         F.when(any_of(h, COPY_HEADERS), "vendored").when(any_of(h, TOOL_HEADERS), "generated")
         .when(folder(VENDOR_FOLDERS) | vendor | name.rlike(RELEASE_NAME), "vendored")
         .when(folder(OUTPUT_FOLDERS) | any_of(name, OUTPUT_NAMES), "generated")
-        .when(any_of(name, DELIVERY_NAMES), "minified")
+        .when(any_of(name, DELIVERY_NAMES) | hashed, "minified")
         .when(data | data_name | (expanded & p.rlike(r"(^|/)(data|fixtures|testdata)/")), "data").when(expanded, "minified").when(shaped >= 0.95, "generated")
     )
 
 
-def not_hand_written(hashes: DataFrame, nodes: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+def file_layouts(texts: DataFrame) -> DataFrame:
+    """(lp, lr, lines, expansion, literal_share, one_shape) of each file of ``texts(project, rel_path, content)``.
+
+    A file may come whole or in several fragments, whose lines are added up; shares are weighted by lines, so that no
+    task gathers a file's texts.
+    """
+    each = layouts(texts)
+    weighted = lambda c: F.sum(F.col(c) * F.col("lines")) / F.sum("lines")
+    by_file = each.where("lines > 0").groupBy(F.col("project").alias("lp"), F.col("rel_path").alias("lr"))
+    return by_file.agg(F.sum("lines").alias("lines"), (F.sum("canonical_lines") / F.sum("lines")).alias("expansion"), weighted("literal_share").alias("literal_share"), weighted("one_shape").alias("one_shape"))
+
+
+def not_hand_written(hashes: DataFrame, nodes: DataFrame, texts: DataFrame | None = None, fragments: bool = False) -> DataFrame:
     """(project, rel_path, reason) of the files of ``hashes`` that are generated, minified, vendored or data.
 
-    Evidence is the path, the header and line count of the File node (joined by project and cleaned path) and the
-    largest size on record, or, for files with a row in ``texts(project, rel_path, content)``, the lexed text itself.
+    Evidence is the lexed text of files with rows in ``texts(project, rel_path, content)``, the path, the header and line
+    count of the File node (joined by project and cleaned path) and the largest size on record. With ``fragments`` the
+    texts are parts of files, and the expansion by size and line count, which is of the whole, counts beside theirs.
     Defined cases: a file without a node is judged by its path; properties that are null or hold no line count fall back
     to the node's end_line; a null path gives no row; deleted files count like others; repeated rows count once; empty
     tables give no rows; further columns are ignored.
@@ -155,8 +171,7 @@ def not_hand_written(hashes: DataFrame, nodes: DataFrame, texts: DataFrame | Non
     if texts is None:
         reason = judge(F.col("rel_path"), F.col("header"), by_size, F.lit(None).cast("double"), F.col("size"))
         return known.select("project", "rel_path", reason.alias("reason")).where("reason is not null")
-    lexed = layouts(texts).select(F.col("project").alias("lp"), F.col("rel_path").alias("lr"), "lines", "canonical_lines", "literal_share", "one_shape")
-    both = known.join(lexed, F.col("project").eqNullSafe(F.col("lp")) & (F.col("rel_path") == F.col("lr")), "left")
-    by_text = F.when(F.col("lines") > 0, F.col("canonical_lines") / F.col("lines"))
-    reason = judge(F.col("rel_path"), F.col("header"), F.coalesce(by_text, by_size), F.col("literal_share"), F.col("size"), F.when(F.col("lines") >= 20, F.col("one_shape")))
+    both = known.join(file_layouts(texts), F.col("project").eqNullSafe(F.col("lp")) & (F.col("rel_path") == F.col("lr")), "left")
+    expansion = F.greatest("expansion", by_size) if fragments else F.coalesce(F.col("expansion"), by_size)
+    reason = judge(F.col("rel_path"), F.col("header"), expansion, F.col("literal_share"), F.col("size"), F.when(F.col("lines") >= 20, F.col("one_shape")))
     return both.select("project", "rel_path", reason.alias("reason")).where("reason is not null").distinct()

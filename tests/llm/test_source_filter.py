@@ -33,3 +33,14 @@ def test_layout_of_texts(frame):
 def test_odd_texts(text):
     lines, canonical, share, shape = S.layout(text)
     assert lines >= 0 and canonical >= 0 and 0 <= share <= 1 and 0 <= shape <= 1
+
+
+def test_fragments(frame):
+    rows = [("p", "a.py", "x = [" + ", ".join(f'"{i * 7919:08d}"' for i in range(400)) + "]\n")] * 2 + [("p", "b.py", "def f(a):\n    b = a + 1\n    return b\n")] * 9
+    hashes = frame([("p", "a.py", 9000), ("p", "b.py", 900), ("p", "c.js", 9000)], "project string, rel_path string, size bigint")
+    nodes = frame([(1, "p", "File", "c.js", 1, 3, None)], "id bigint, project string, label string, file_path string, start_line int, end_line int, properties string")
+    texts = frame(rows, "project string, rel_path string, content string")
+    got = {r["rel_path"]: r["reason"] for r in S.not_hand_written(hashes, nodes, texts, fragments=True).collect()}
+    assert got == {"a.py": "data", "c.js": "minified"}
+    by_file = {r["lr"]: r for r in S.file_layouts(texts).collect()}
+    assert by_file["b.py"]["lines"] == 27 and by_file["b.py"]["expansion"] == 1.0
