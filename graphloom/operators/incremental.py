@@ -1,20 +1,27 @@
 """Processing only new or changed records: the published target is the state.
 
-Every output row keeps the key and version of the source record it was made from. A run anti-joins the source against
-those rows, processes what has no counterpart, and publishes the next target version by one atomic create; whatever
+The target stores key and version of every source record it was made from. A run anti-joins the source against them in
+both directions, processes what has no counterpart, and publishes the next target version by one atomic create; whatever
 fails before leaves the previous version current, so nothing is skipped or repeated.
+
+A version is a manifest of parts. A part holds the output rows of one run and the keys it processed or found gone, so a
+run writes as much as has changed; a reader takes of each key the rows of the last part that names it.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from graphloom.plans.lineage import delete_path
+from graphloom.plans.lineage import SharedTables, delete_path
 
 KEY = ("project", "rel_path")
 
@@ -66,26 +73,38 @@ def successful_runs(runs: DataFrame) -> DataFrame:
 def replay_runs(log: DataFrame, runs: DataFrame) -> DataFrame:
     """Rows (run_id, project, rel_path): what each successful run had to process.
 
-    For a run, the source is the state at its own scan and the target the state that the project's previous successful
-    run published; failed, aborted and running runs publish nothing, so their files stay due. Only states that hold at
-    one of the two points and not at the other are joined to a run: a file is expanded to the runs where it may have
-    changed, not to all of them.
+    The runs are replayed as increments into a target: the k-th successful runs of all projects are one increment, whose
+    source is the state of their projects at their scans. Failed, aborted and running runs publish nothing, so their
+    files stay due. There are as many increments as a project has successful runs; each reads the states once, without a
+    shuffle, and joins them with what the target holds of the same projects.
     """
-    v, r = file_versions(log), successful_runs(runs)
-    now = (F.col("from_scan") <= F.col("at_scan")) & (F.col("to_scan").isNull() | (F.col("at_scan") < F.col("to_scan")))
-    then = F.col("before_scan").isNotNull() & (F.col("from_scan") <= F.col("before_scan")) & (F.col("to_scan").isNull() | (F.col("before_scan") < F.col("to_scan")))
-    # the second condition keeps the join to states that hold at one point only
-    placed = v.join(r, F.col("project").eqNullSafe(F.col("run_project")) & (now != then)).select("run_id", *KEY, "version", now.alias("is_source"))
-    source, target = placed.where("is_source").drop("is_source"), placed.where("not is_source").drop("is_source")
-    return changed_records(source, target, ["run_id", *KEY], "version").drop("change")
+    spark = log.sparkSession
+    tables = SharedTables(spark, "replay")
+    states = tables.put(file_versions(log))
+    order = W.partitionBy("run_project").orderBy("run_id")
+    ranked = tables.put(successful_runs(runs).withColumn("nth", F.row_number().over(order)))
+    target, published = VersionedTarget(spark, f"{tables.root}/target"), []
+    for nth in range(1, (ranked.agg(F.max("nth")).first()[0] or 0) + 1):
+        due = ranked.where(F.col("nth") == nth)
+        holds = (F.col("from_scan") <= F.col("at_scan")) & (F.col("to_scan").isNull() | (F.col("at_scan") < F.col("to_scan")))
+        source = states.join(due, F.col("project").eqNullSafe(F.col("run_project")) & holds).select(*KEY, "version")
+        before = target.version()
+        if run_increment(source, target, KEY, "version", lambda changed: changed, scope=due.select(F.col("run_project").alias("project")), compact_after=None) > before:
+            published.append((before + 1, nth))
+    if not published:
+        return states.select(F.lit(None).cast(runs.schema["run_id"].dataType).alias("run_id"), *KEY).limit(0)
+    nth_of = reduce(lambda column, x: column.when(F.col("__part") == x[0], x[1]), published[1:], F.when(F.col("__part") == published[0][0], published[0][1]))
+    changes = target.changes().select(*KEY, nth_of.alias("change_nth"))
+    return changes.join(ranked, F.col("project").eqNullSafe(F.col("run_project")) & (F.col("nth") == F.col("change_nth"))).select("run_id", *KEY)
 
 
 class VersionedTarget:
     """A target table whose versions are published atomically.
 
-    ``<root>/data/<id>`` holds the files of one version and ``<root>/log/<number>`` names the id that is current from
-    then on. The log entry is created exclusively, so of two writers that start from the same version one fails; a
-    reader sees the whole old or the whole new version. Files of a run that failed before its entry are never read.
+    ``<root>/log/<number>`` is the manifest of a version: its parts in order, each with a number, a folder of output rows
+    and a folder of keys (key, version, gone). Manifests are created exclusively, so of two writers that start from the
+    same version one fails; a reader sees the whole old or the whole new version. Files of a run that failed before its
+    manifest are never read, and ``vacuum`` removes them.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -96,42 +115,132 @@ class VersionedTarget:
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(name)
 
-    def version(self) -> int:
-        """The number of the current version; 0 before the first."""
+    def _numbers(self) -> list[int]:
         log = self._path(f"{self.root}/log")
         if not self._fs.exists(log):
-            return 0
-        return max([int(s.getPath().getName()) for s in self._fs.listStatus(log) if s.getPath().getName().isdigit()], default=0)
+            return []
+        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(log) if s.getPath().getName().isdigit())
 
-    def _data(self, number: int) -> str:
-        stream = self._fs.open(self._path(f"{self.root}/log/{number:012d}"))
+    def version(self) -> int:
+        """The number of the current version; 0 before the first."""
+        return max(self._numbers(), default=0)
+
+    def parts(self, number: int | None = None) -> list[dict]:
+        """The parts of the current (or a given) version, oldest first."""
+        at = self.version() if number is None else number
+        if not at:
+            return []
+        stream = self._fs.open(self._path(f"{self.root}/log/{at:012d}"))
         try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def read(self, schema=None, number: int | None = None) -> DataFrame | None:
-        """The current (or a given) version, or None before the first."""
-        at = self.version() if number is None else number
-        if not at:
+    def _each(self, parts: list[dict], which: str) -> DataFrame | None:
+        """The rows of several parts with their part's number; parts of one schema are one scan, and none is inferred."""
+        by_schema: dict[str, list[str]] = {}
+        for p in parts:
+            if p[which]:
+                by_schema.setdefault(p[f"{which}_schema"], []).append(f"{self.root}/{p[which]}")
+        scans = [self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(*paths) for schema, paths in by_schema.items()]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans) if scans else None
+
+    def changes(self, number: int | None = None) -> DataFrame | None:
+        """(key..., version, gone, __part): all that the runs behind a version processed or found gone."""
+        return self._each(self.parts(number), "keys")
+
+    def state(self, key: Sequence[str], number: int | None = None) -> DataFrame | None:
+        """(__key, version): key (as a struct) and version of every source record the target was made from."""
+        every = self.changes(number)
+        if every is None:
             return None
-        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
-        return reader.parquet(f"{self.root}/data/{self._data(at)}")
+        last = every.groupBy(F.struct(*key).alias("__key")).agg(F.max_by(F.struct("version", "gone"), "__part").alias("s"))
+        return last.where("not s.gone").select("__key", F.col("s.version").alias("version"))
+
+    def read(self, number: int | None = None) -> DataFrame | None:
+        """The rows of the current (or a given) version, or None before the first."""
+        parts = self.parts(number)
+        if not parts:
+            return None
+        rows = self._each(parts, "rows")
+        later = [p for p in parts[1:] if p["keys"]]
+        if rows is None or not later:
+            return rows if rows is None else rows.drop("__part")
+        key = parts[-1]["key"]
+        named = self._each(later, "keys").groupBy(F.struct(*key).alias("__key")).agg(F.max("__part").alias("__last"))
+        kept = rows.withColumn("__own", F.struct(*key)).join(named, F.col("__own") == F.col("__key"), "left")
+        return kept.where("__last is null or __part >= __last").drop("__part", "__own", "__key", "__last")
 
     def publish(self, rows: DataFrame, based_on: int) -> int:
-        """Write a version and make it current; raises if another writer published since ``based_on``."""
-        name = uuid.uuid4().hex
-        rows.write.parquet(f"{self.root}/data/{name}")
-        entry, part = self._path(f"{self.root}/log/{based_on + 1:012d}"), self._path(f"{self.root}/part-{name}")
+        """Write a whole version and make it current; raises if another writer published since ``based_on``."""
+        return self._commit(rows, None, (), [], based_on)
+
+    def append(self, rows: DataFrame | None, keys: DataFrame, key: Sequence[str], based_on: int) -> int:
+        """Publish the version ``based_on`` with a further part: rows, and keys (key..., version, gone) they replace."""
+        return self._commit(rows, keys, key, self.parts(based_on), based_on)
+
+    def compact(self, key: Sequence[str], based_on: int) -> int:
+        """Publish the version ``based_on`` again as one part."""
+        state = self.state(key, based_on)
+        keys = state and state.select("__key.*", "version", F.lit(False).alias("gone"))
+        return self._commit(self.read(number=based_on), keys, key, [], based_on)
+
+    def _commit(self, rows: DataFrame | None, keys: DataFrame | None, key: Sequence[str], parts: list[dict], based_on: int) -> int:
+        name, number = uuid.uuid4().hex, based_on + 1
+        part = {"part": number, "key": list(key), "rows": None, "keys": None}
+        for which, df in (("rows", rows), ("keys", keys)):
+            if df is not None:
+                part[which], numbered = f"{which}/{name}", df.withColumn("__part", F.lit(number))
+                part[f"{which}_schema"] = numbered.schema.json()
+                numbered.write.parquet(f"{self.root}/{part[which]}")
+        if not self._create(f"{self.root}/log/{number:012d}", json.dumps([*parts, part])):
+            for which in ("rows", "keys"):
+                delete_path(self.spark, f"{self.root}/{which}/{name}")
+            raise RuntimeError(f"version {number} was published by another writer")
+        return number
+
+    def _create(self, name: str, text: str) -> bool:
+        """Create a file with its whole content, or return False if it exists; one step for other writers and readers.
+
+        On a local file system a hard link does it, elsewhere a rename that doesn't replace. Object stores without either
+        need a file system client that makes rename exclusive.
+        """
+        entry, part = self._path(name), self._path(f"{self.root}/pending/{uuid.uuid4().hex}")
+        self._fs.mkdirs(entry.getParent())
         out = self._fs.create(part, False)
-        out.write(bytearray(name.encode()))
+        out.write(bytearray(text.encode()))
         out.close()
-        self._fs.mkdirs(entry.getParent())
-        if self._fs.exists(entry) or not self._fs.rename(part, entry):
+        try:
+            if self._fs.getScheme() == "file":
+                file = lambda p: self._jvm.java.io.File(p.toUri().getPath()).toPath()
+                self._jvm.java.nio.file.Files.createLink(file(entry), file(part))
+            else:
+                context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+                context.rename(part, entry, self.spark._sc._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        except Exception:
+            if self._fs.exists(entry):
+                return False
+            raise
+        finally:
             self._fs.delete(part, False)
-            delete_path(self.spark, f"{self.root}/data/{name}")
-            raise RuntimeError(f"version {based_on + 1} was published by another writer")
-        return based_on + 1
+        return True
+
+    def vacuum(self, keep: int = 2, older_than_s: float = 86_400) -> int:
+        """Remove all but the last ``keep`` versions and the folders that none of these names; returns how many folders.
+
+        Folders changed within ``older_than_s`` are left, since a writer may be about to publish them.
+        """
+        numbers = self._numbers()
+        named = {p[w] for n in numbers[-keep:] for p in self.parts(n) for w in ("rows", "keys") if p[w]}
+        for n in numbers[:-keep]:
+            self._fs.delete(self._path(f"{self.root}/log/{n:012d}"), False)
+        gone, now = 0, time.time()
+        for which in ("rows", "keys"):
+            folder = self._path(f"{self.root}/{which}")
+            for s in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
+                if f"{which}/{s.getPath().getName()}" not in named and now - s.getModificationTime() / 1000 >= older_than_s:
+                    gone += self._fs.delete(s.getPath(), True)
+        return gone
 
 
 def run_increment(
@@ -140,21 +249,45 @@ def run_increment(
     key: Sequence[str],
     version: str,
     process: Callable[[DataFrame], DataFrame],
+    scope: DataFrame | None = None,
+    compact_after: int | None = 32,
 ) -> int:
     """One run: process the source records whose (key, version) the target lacks, and publish the next target version.
 
-    ``process`` gets the new and changed source rows and must keep the key and version columns; its output may hold
-    several rows a record. Output of records that changed or are gone is dropped. Returns the current version; if
-    nothing changed, no version is written. A run that dies before publishing has no effect, and repeating it does the
-    same work once.
+    Source and target meet in one full join over keys and versions, which is the anti-join in both directions; only what
+    it finds different is processed and written. ``process`` gets the new and changed source rows and must keep the key
+    columns; its output may hold any number of rows a record. Output of records that changed or are gone is dropped.
+    ``scope`` names the values of a prefix of the key for which the source is complete (all by default); keys of the
+    target outside it are left as they are. After ``compact_after`` parts the target is written anew as one part.
+    Returns the current version; if nothing changed, no version is written. A run that dies before publishing has no
+    effect, and repeating it does the same work once.
+    Defined cases: null keys and versions compare as values; of several source rows of a key each is processed, and the
+    greatest version is kept as the key's; an empty source makes all of the target gone; an empty target all new.
     """
     at = target.version()
-    old = target.read()
-    if old is None:
-        return target.publish(process(source), at)
-    held = old.select(*key, version).distinct()
-    due = unmatched(source, held, [*key, version])
-    kept = unmatched(old, unmatched(held, source, [*key, version]), [*key, version])
-    if not due.limit(1).count() and not unmatched(held, source, [*key, version]).limit(1).count():
+    tables = SharedTables(source.sparkSession, "increment")
+    plain = F.col(version).cast("string")
+    offered = source.groupBy(F.struct(*key).alias("__key")).agg(F.max(plain).alias("offered"), F.lit(True).alias("in_source"))
+    held = target.state(key, at)
+    if held is None:
+        change = offered.select("__key", "offered", F.lit("new").alias("change"))
+    else:
+        if scope is not None:
+            inside = scope.select(F.struct(*scope.columns).alias("__scope")).distinct()
+            held = held.join(inside, F.struct(*[F.col(f"__key.{c}").alias(c) for c in scope.columns]) == F.col("__scope"), "left_semi")
+        held = held.select(F.col("__key").alias("__held"), F.col("version").alias("held"))
+        both = offered.join(held, F.col("__key") == F.col("__held"), "full").where("in_source is null or __held is null or not (offered <=> held)")
+        kind = F.when(F.col("__held").isNull(), "new").when(F.col("in_source").isNull(), "gone").otherwise("changed")
+        change = both.select(F.coalesce("__key", "__held").alias("__key"), "offered", kind.alias("change"))
+    change = tables.put(change)
+    if change.isEmpty():
+        tables.close()
         return at
-    return target.publish(kept.unionByName(process(due)), at)
+    wanted = change.where("change <> 'gone'").select(F.col("__key").alias("__due"))
+    due = source.join(wanted, F.struct(*key) == F.col("__due"), "left_semi")
+    keys = change.select("__key.*", F.col("offered").alias("version"), (F.col("change") == "gone").alias("gone"))
+    now = target.append(process(due), keys, key, at)
+    tables.close()
+    if compact_after is not None and len(target.parts(now)) > compact_after:
+        now = target.compact(key, now)
+    return now

@@ -62,3 +62,31 @@ def test_two_writers(spark, frame, tmp_path):
     with pytest.raises(RuntimeError):
         target.publish(rows, 0)
     assert target.version() == 1
+
+
+def test_parts_follow_the_change(spark, frame, tmp_path):
+    target = VersionedTarget(spark, str(tmp_path / "t"))
+    schema = "p string, k string, v string"
+    same = lambda df: df.withColumn("out", F.upper("v"))
+    run_increment(frame([("a", "x", "1"), ("b", "y", "1"), (None, "z", None)], schema), target, ["p", "k"], "v", same)
+    scope = frame([("a",)], "p string")
+    assert run_increment(frame([("a", "w", "2")], schema), target, ["p", "k"], "v", same, scope=scope) == 2
+    assert {(r["p"], r["k"], r["v"]) for r in target.read().collect()} == {("a", "w", "2"), ("b", "y", "1"), (None, "z", None)}
+    assert target._each(target.parts()[-1:], "rows").count() == 1 and {(r["k"], r["gone"]) for r in target._each(target.parts()[-1:], "keys").collect()} == {("w", False), ("x", True)}
+    none = lambda df: df.where("false")
+    rows = [("a", "w", "3"), ("b", "y", "1"), (None, "z", None)]
+    assert run_increment(frame(rows, schema), target, ["p", "k"], "v", none) == 3
+    assert run_increment(frame(rows, schema), target, ["p", "k"], "v", none) == 3  # a record without output isn't processed again
+    assert run_increment(frame(rows[1:], schema), target, ["p", "k"], "v", same, compact_after=2) == 5 and len(target.parts()) == 1
+    assert {(r["p"], r["k"]) for r in target.read().collect()} == {("b", "y"), (None, "z")}
+    assert target.vacuum(keep=1) == 0 and target.vacuum(keep=1, older_than_s=0) == 8
+    assert target.read().count() == 2 and target.version() == 5
+
+
+def test_concurrent_writers(spark, frame, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    target = VersionedTarget(spark, str(tmp_path / "t"))
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda i: target._create(f"{target.root}/log/{1:012d}", f"[{i}]"), range(8)))
+    assert got.count(True) == 1 and target.parts() == [got.index(True)]
