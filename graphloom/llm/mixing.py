@@ -2,8 +2,9 @@
 
 The tokens of each source, laid end to end in a pseudorandom order of its records, are packed into blocks of fixed
 length. The wanted total is cut into slots of one block, and slots into output shards; each shard draws how many of its
-slots each source gets from the multinomial conditioned on the sources' totals, so the shares come out exactly and no
-shard depends on another's randomness. A slot's running number within its source is mapped to a block by a pseudorandom
+slots each source gets from the multinomial conditioned on the sources' totals, so the shares come out exactly. A
+range of shards is halved again and again, each time by the seed of the range, so every shard finds its own counts, and
+the numbers of its first slots, by itself. A slot's running number within its source is mapped to a block by a pseudorandom
 permutation of the source's block indexes, a fresh one for each repetition, and blocks are joined to slots by index.
 """
 
@@ -12,22 +13,26 @@ from __future__ import annotations
 import base64
 import functools
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.plans.lineage import SharedTables
 
-#: Where the public vocabularies lie, and the one that counts tokens.
+#: The public vocabulary that counts tokens, as the driver finds it; executors get it with the job.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the splitting pattern of that vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Records of one bucket when offsets are summed; a source has as many buckets as it needs.
 BUCKET_RECORDS = 20_000
+#: Slots over which counts are drawn at random; a longer mixture is a row of such stretches with proportional counts.
+STRETCH_SLOTS = 2**29
 
 
 @functools.lru_cache(maxsize=4)
@@ -35,11 +40,19 @@ def encoder(vocabulary: str):
     """The tokenizer of a vocabulary of base64 pieces and ranks, one for each Python worker."""
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
+    shipped = SparkFiles.get(os.path.basename(vocabulary)) if SparkFiles._is_running_on_worker else vocabulary
+    with open(shipped if os.path.exists(shipped) else vocabulary, "rb") as f:
         ranks = {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in f if line.strip())}
     return tiktoken.Encoding("graphloom", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def ship(docs: DataFrame, vocabulary: str) -> None:
+    """Send the vocabulary to the executors, once a session."""
+    context = docs.sparkSession.sparkContext
+    if not any(f.endswith("/" + os.path.basename(vocabulary)) for f in context.listFiles):
+        context.addFile(vocabulary)
+
+
 def clean_source(source: Column) -> Column:
     return F.lower(F.trim(source))
 
@@ -47,6 +60,7 @@ def clean_source(source: Column) -> Column:
 def token_counts(docs: DataFrame, doc_id: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, n_tokens) of every document, counted over its whole text; null and empty texts have none."""
     kind = docs.schema[doc_id].dataType.simpleString()
+    ship(docs, vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(vocabulary).encode_ordinary
@@ -121,15 +135,35 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return out.astype(np.int64)
 
 
-def shard_counts(totals: list[int], slots_per_shard: int, seed: int) -> np.ndarray:
-    """Slots of each shard (rows) for each source (columns): multinomial draws conditioned on the totals."""
-    left, rng, rows = np.array(totals, dtype=np.int64), np.random.default_rng(seed), []
-    while left.sum():
-        size = int(min(slots_per_shard, left.sum()))
-        drawn = rng.multivariate_hypergeometric(left, size, method="marginals")
-        rows.append(drawn)
-        left = left - drawn
-    return np.array(rows, dtype=np.int64).reshape(-1, len(totals))
+def shard_counts(totals: list[int], shards: int, slots_per_shard: int, seed: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, first) of the wanted shards: slots of each source in the shard, and in all shards before it.
+
+    The shards hold ``slots_per_shard`` slots each, the last one the rest. A range of shards is halved, and what of each
+    source falls into the lower half is a multivariate hypergeometric draw: the multinomial given the totals.
+    """
+    counts, first = np.zeros((len(wanted), len(totals)), dtype=np.int64), np.zeros((len(wanted), len(totals)), dtype=np.int64)
+    total = np.array(totals, dtype=np.int64)
+    last = int(total.sum())
+    # (lower end, upper end, totals of the range, totals before it, which of the wanted shards lie in it)
+    ranges = [(0, shards, total, np.zeros_like(total), np.arange(len(wanted)))] if len(wanted) else []
+    while ranges:
+        low, high, held, before, inside = ranges.pop()
+        if high - low == 1:
+            counts[inside], first[inside] = held, before
+            continue
+        middle = (low + high) // 2
+        size = min(middle * slots_per_shard, last) - low * slots_per_shard
+        if held.sum() > STRETCH_SLOTS:  # whole stretches get their share exactly
+            exact = [divmod(int(h) * size, int(held.sum())) for h in held]
+            lower = np.array([q for q, _ in exact], dtype=np.int64)
+            for i in sorted(range(len(exact)), key=lambda i: -exact[i][1])[: size - int(lower.sum())]:
+                lower[i] += 1
+        else:
+            lower = np.random.default_rng([seed, low, high]).multivariate_hypergeometric(held, size, method="marginals")
+        for ends, part, offset, chosen in (((low, middle), lower, before, wanted[inside] < middle), ((middle, high), held - lower, before + lower, wanted[inside] >= middle)):
+            if chosen.any():
+                ranges.append((*ends, part, offset, inside[chosen]))
+    return counts, first
 
 
 def mixture(
@@ -157,22 +191,22 @@ def mixture(
     names = sorted(wanted)
     slots = math.ceil(total_tokens / block)
     got = allot(slots, {s: wanted[s][0] for s in names}, {s: sizes.get(s, 0) * wanted[s][1] for s in names})
-    counts = shard_counts([got[s] for s in names], slots_per_shard, seed)
-    first = np.cumsum(counts, axis=0) - counts
-    plan = spark.createDataFrame([(i, counts[i].tolist(), first[i].tolist()) for i in range(len(counts))], "shard bigint, counts array<bigint>, first array<bigint>")
+    totals = [got[s] for s in names]
+    shards = math.ceil(sum(totals) / slots_per_shard)
     size_of = np.array([sizes.get(s, 1) for s in names], dtype=np.int64)
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for shard, counted, start in zip(pdf["shard"], pdf["counts"], pdf["first"]):
+            wanted = pdf["id"].to_numpy()
+            for shard, counted, start in zip(wanted, *shard_counts(totals, shards, slots_per_shard, seed, wanted)):
                 which = np.repeat(np.arange(len(names)), counted)
-                number = np.concatenate([np.arange(c) + f for c, f in zip(counted, start)]).astype(np.int64) if len(which) else np.zeros(0, dtype=np.int64)
+                number = np.concatenate([np.arange(c) + f for c, f in zip(counted, start)]).astype(np.int64)
                 repeat, index = number // size_of[which], number % size_of[which]
                 place = np.random.default_rng([seed, int(shard)]).permutation(len(which))  # sources mixed within the shard
                 chosen = permuted(index, size_of[which], which * 1_000_003 + repeat + seed * 7919)
                 yield pd.DataFrame({"shard": shard, "slot": place, "source": [names[w] for w in which], "repeat": repeat, "block": chosen})
 
-    drawn = plan.repartition(max(1, min(len(counts), spark.sparkContext.defaultParallelism))).mapInPandas(fill, "shard bigint, slot bigint, source string, repeat bigint, block bigint")
+    drawn = spark.range(0, shards, 1, max(1, min(shards, 4 * spark.sparkContext.defaultParallelism))).mapInPandas(fill, "shard bigint, slot bigint, source string, repeat bigint, block bigint")
     return drawn.join(blocks, ["source", "block"]).select("shard", "slot", "source", "repeat", "block", "doc_id", "start", "n")
 
 
@@ -188,14 +222,24 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def materialize(mixed: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """The mixture's spans with their token ids: ``mixed`` plus tokens array<int>."""
+    """The mixture's spans with their token ids: ``mixed`` plus tokens array<int>.
+
+    A record is encoded once, whatever number of spans and repeats the mixture takes from it; its spans are cut from the
+    result and joined to the slots. The list of a record's spans is no longer than the record has blocks.
+    """
+    kind = docs.schema[doc_id].dataType.simpleString()
+    ship(docs, vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(vocabulary).encode_ordinary
         for pdf in batches:
-            pdf["tokens"] = [encode(t)[s : s + n] for t, s, n in zip(pdf["__text"], pdf["start"], pdf["n"])]
-            yield pdf.drop(columns="__text")
+            rows = []
+            for i, t, spans in zip(pdf["doc_id"], pdf["__text"], pdf["spans"]):
+                ids = encode(t)
+                rows += [(i, x["start"], ids[x["start"] : x["start"] + x["n"]]) for x in spans]
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "tokens"])
 
+    spans = mixed.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
-    spec = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in mixed.schema)
-    return mixed.join(texts, "doc_id").select(*mixed.columns, "__text").mapInPandas(run, f"{spec}, tokens array<int>")
+    cut = texts.join(spans, "doc_id").mapInPandas(run, f"doc_id {kind}, start bigint, tokens array<int>")
+    return mixed.join(cut, ["doc_id", "start"]).select(*mixed.columns, "tokens")

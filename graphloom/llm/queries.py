@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import source_filter as S
 from graphloom.llm.doc_pairs import described_symbols
 from graphloom.llm.leakage import leaks
-from graphloom.llm.mixing import mixture, shares
+from graphloom.llm.mixing import materialize, mixture, shares
 from graphloom.llm.near_dup import expand_pairs, near_duplicates
 from graphloom.llm.residue import residues
 from graphloom.llm.source_filter import not_hand_written
@@ -46,13 +46,20 @@ def p7_mixture_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(mixture(table(spark, d, "documents"), targets), targets)
 
 
+def p7_mixture_slots(spark: SparkSession, d: str) -> DataFrame:
+    """Every slot of that mixture with its tokens: how many, from how many records, and a hash of them in order."""
+    docs = table(spark, d, "documents")
+    spans = materialize(mixture(docs, table(spark, d, "mix_targets")), docs).select("shard", "slot", "source", "repeat", "block", "doc_id", "start", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("h"))
+    return spans.groupBy("shard", "slot", "source", "repeat", "block").agg(F.sum("n").alias("tokens"), F.count("*").alias("records"), F.bit_xor(F.xxhash64("doc_id", "start", "h")).alias("content"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with template residue, filler or error-page text."""
     return residues(table(spark, d, "documents")).select("doc_id").distinct()
 
 
 QUERIES = {
-    "p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_mixture_shares": p7_mixture_shares, "p8_found": p8_found,
+    "p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_mixture_shares": p7_mixture_shares, "p7_mixture_slots": p7_mixture_slots, "p8_found": p8_found,
 }
 
 

@@ -34,3 +34,30 @@ def test_mixture(frame):
         pieces = sorted((r["start"], r["tokens"]) for r in whole if r["doc_id"] == i)
         assert [t for _, p in pieces for t in p] == (encode(text) if text and i != 900 else [])
     assert M.shares(M.mixture(df.limit(0), targets, 100), targets).count() == 3
+
+
+def test_shard_counts():
+    totals = [700, 250, 51, 0]
+    counts, first = M.shard_counts(totals, 16, 64, 3, np.arange(16))
+    assert counts.sum(axis=0).tolist() == totals and counts.sum(axis=1).tolist() == [64] * 15 + [41]
+    assert first.tolist() == (np.cumsum(counts, axis=0) - counts).tolist() and len({tuple(c) for c in counts.tolist()}) > 8
+    some, at = M.shard_counts(totals, 16, 64, 3, np.array([11, 2]))  # a shard doesn't need the others
+    assert some.tolist() == counts[[11, 2]].tolist() and at.tolist() == first[[11, 2]].tolist()
+    big = [6 * 10**9, 4 * 10**9 + 7]
+    counts, first = M.shard_counts(big, -(-sum(big) // 1024), 1024, 0, np.array([0, 5_000_000, sum(big) // 1024]))
+    assert counts.sum(axis=1).tolist() == [1024, 1024, sum(big) % 1024] and ((0.45 < counts[:, 0] / counts.sum(axis=1)) | (counts.sum(axis=1) < 64)).all()
+    assert first[2].sum() + counts[2].sum() == sum(big)
+
+
+def test_slots_hold_blocks(frame, spark, tmp_path):
+    from graphloom.llm.queries import QUERIES
+
+    frame([(i, ["Code ", "adr"][i % 2], f"{i} " + "word " * (50 * i)) for i in range(80)], "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    frame([("code", 0.7, 3), ("adr", 0.3, 2)], "source string, target_share double, max_repeat int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    slots = QUERIES["p7_mixture_slots"](spark, str(tmp_path)).collect()
+    shares = {r["source"]: r for r in QUERIES["p7_mixture_shares"](spark, str(tmp_path)).collect()}
+    assert {s: sum(r["tokens"] for r in slots if r["source"] == s) for s in shares} == {s: r["tokens"] for s, r in shares.items()}
+    assert all(r["tokens"] <= 2048 for r in slots)
+    same = {}
+    for r in slots:  # the same block has the same content wherever it is repeated
+        assert same.setdefault((r["source"], r["block"]), (r["tokens"], r["records"], r["content"])) == (r["tokens"], r["records"], r["content"])
