@@ -8,6 +8,12 @@ own band and, where a larger partner may lie in the next, in that one too. By th
 only its first d + 1 non-empty parts in an order that is the same for all sets (parts with more uncommon words first),
 d being the number of elements that may differ.
 
+A signature that very many sets share sorts out little. Such groups don't meet as they are: their members are given
+PartEnum's full signatures instead, the enumerated subsets. The domain is cut into first-level parts, so few that in one
+of them similar sets differ in at most LOOSE elements; that part is cut into SECOND second-level parts, and the elements
+of every choice of SECOND - LOOSE of these are a signature. What still is a large group then meets block by block, a task
+for each pair of blocks.
+
 Words that very many records hold ("return nil err") would give signatures shared by everything. Elements made of such
 words alone are left out of the partitioned domain; that keeps the bound, since the sets differ in no more elements of
 a smaller domain. The few sets that then have too few parts for the guarantee go through the same join once more with
@@ -16,6 +22,7 @@ every element as a part of its own. Equal sets are one class from the start, so
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -34,6 +41,10 @@ COMMON_SHARE, MIN_COMMON = 0.005, 64
 MAX_COMMON = 2000
 #: Parts of a band's domain for each element of its largest set.
 PARTS = 0.6
+#: Sets of one batch that share a signature from which on its group counts as hot, and members of a block of a group.
+HOT, BLOCK = 64, 2000
+#: Second-level parts of a first-level part, those that may differ, and first-level parts for each one that is needed.
+SECOND, LOOSE, SPARE = 3, 1, 1.2
 
 
 def words(text: Column) -> Column:
@@ -83,9 +94,24 @@ def bands(threshold: float) -> list[tuple[int, int, int]]:
 
 
 def classes(sets: DataFrame) -> DataFrame:
-    """(cls, n, sh): one row for each distinct set, named by its hash; a hash met by two sets ends the job."""
-    one = sets.select("cls", F.xxhash64(F.lit("second"), "sh").alias("other"), "sh").groupBy("cls").agg(F.first("sh").alias("sh"), F.min("other").alias("lo"), F.max("other").alias("hi"))
-    return one.select("cls", F.when(F.col("lo") == F.col("hi"), F.size("sh")).otherwise(F.raise_error(F.lit("two sets share a hash")).cast("int")).alias("n"), "sh")
+    """(cls, n, sh): one row for each distinct set, named by its hash; ``distinct_classes`` has made the names unique."""
+    return sets.groupBy("cls").agg(F.first("sh").alias("sh")).select("cls", F.size("sh").alias("n"), "sh")
+
+
+def distinct_classes(sets: DataFrame, tables: SharedTables) -> DataFrame:
+    """The sets with names that no two different sets share.
+
+    Different sets of one hash are told apart by comparing the sets themselves: they are ranked within the hash, and all
+    but the first get a further hash as their name. As a rule there are none, and the sets stay as they are.
+    """
+    check = sets.select("cls", F.xxhash64(F.lit("second"), "sh").alias("other")).groupBy("cls").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo <> hi").select("cls")
+    met = tables.put(check)
+    if met.isEmpty():
+        return sets
+    own = sets.join(met.withColumn("met", F.lit(True)), "cls", "left")
+    rank = F.dense_rank().over(W.partitionBy("cls").orderBy("sh"))
+    told = own.where("met").withColumn("k", rank).select("id", F.when(F.col("k") == 1, F.col("cls")).otherwise(F.xxhash64("cls", "k", "sh")).alias("cls"), "sh")
+    return distinct_classes(tables.put(own.where("met is null").select("id", "cls", "sh").unionByName(told)), tables)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -129,20 +155,75 @@ def signature_arrays(offsets: np.ndarray, values: np.ndarray, threshold: float,
             kept = np.arange(len(r)) - (np.cumsum(filled) - filled)[r] <= differ[r]
             sigs.append(sig[kept])
             owners.append(r[kept])
-    if short.any():  # exactly: these meet in any of their first d + 1 elements, those with rare words first
-        differ = np.floor(ratio * (n + most) + 1e-9).astype(np.int64)
-        held = short[rec]
+    if short.any():  # exactly: these meet by elements
+        sig, owner = _element_signatures(n, rec, x, weight, short, np.floor(ratio * (n + most) + 1e-9).astype(np.int64))
+        sigs.append(sig)
+        owners.append(owner)
+    empty = np.zeros(0, dtype=np.uint64)
+    return np.concatenate(sigs or [empty]).view(np.int64), np.concatenate(owners or [empty.astype(np.int64)]), int(short.sum())
+
+
+def enumerated_arrays(offsets: np.ndarray, values: np.ndarray, threshold: float, table: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(signatures, record numbers, records without the guarantee): PartEnum's enumerated signatures of sets laid end to end.
+
+    With n1 first-level parts two sets that differ in d elements differ in more than LOOSE of them in at most
+    d // (LOOSE + 1) parts. A set with more first-level parts than that of which at least LOOSE + 1 second-level parts hold
+    elements shares a signature that isn't empty with any similar one. Sets that lack so many parts meet by elements.
+    """
+    n = np.diff(offsets)
+    rec = np.repeat(np.arange(len(n)), n)
+    x = values.astype(np.int64).view(np.uint64) >> np.uint64(2)
+    high = np.array([r[1] for r in table])
+    own = np.searchsorted(high, n)
+    most = np.floor(n / threshold + 1e-9).astype(np.int64)
+    ratio = (1 - threshold) / (1 + threshold)
+    first_level = np.ceil(SPARE * (np.floor(2 * ratio * high + 1e-9) // (LOOSE + 1))).astype(np.int64) + 1
+    chosen = list(itertools.combinations(range(SECOND), SECOND - LOOSE))
+    sigs, owners, short = [], [], np.zeros(len(n), dtype=bool)
+    for step in (0, 1):
+        inst = np.minimum(own + step, len(table) - 1)
+        live = (n > 0) if step == 0 else (most > high[own])
+        differ = np.floor(ratio * (n + np.minimum(most, high[inst])) + 1e-9).astype(np.int64)
+        held = live[rec]
         r, e = rec[held], x[held]
-        order = np.lexsort((e, -weight[held], r))
-        r, e = r[order], e[order]
-        size = np.bincount(r, minlength=len(n))
-        kept = np.arange(len(r)) - (np.cumsum(size) - size)[r] <= differ[r]
-        sigs.append(_mixed(e[kept] + np.uint64(0x9E3779B97F4A7C15)))
-        owners.append(r[kept])
+        h = _mixed(e)
+        part = (h % first_level[inst[r]].astype(np.uint64)).astype(np.int64)
+        slot = ((h >> np.uint64(40)) % np.uint64(SECOND)).astype(np.int64)
+        cell, back = np.unique(np.stack([r, part]), axis=1, return_inverse=True)
+        back = back.reshape(-1)
+        sums = np.zeros((cell.shape[1], SECOND), dtype=np.uint64)
+        np.bitwise_xor.at(sums, (back, slot), _mixed(h))
+        filled = np.zeros((cell.shape[1], SECOND), dtype=bool)
+        filled[back, slot] = True
+        good = np.bincount(cell[0][filled.sum(axis=1) > LOOSE], minlength=len(n))
+        short |= live & (good <= differ // (LOOSE + 1))
+        for number, subset in enumerate(chosen):
+            kept = filled[:, subset].any(axis=1)
+            place = (inst[cell[0]].astype(np.uint64) << np.uint64(44)) | (cell[1].astype(np.uint64) << np.uint64(4)) | np.uint64(number)
+            sig = _mixed(place ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+            for k in subset:
+                sig = _mixed(sig ^ sums[:, k])
+            sigs.append(sig[kept])
+            owners.append(cell[0][kept])
+    if short.any():
+        sig, owner = _element_signatures(n, rec, x, np.zeros(len(x), dtype=np.int64), short, np.floor(ratio * (n + most) + 1e-9).astype(np.int64))
+        sigs.append(sig)
+        owners.append(owner)
     empty = np.zeros(0, dtype=np.uint64)
     return np.concatenate(sigs or [empty]).view(np.int64), np.concatenate(owners or [empty.astype(np.int64)]), int(short.sum())
 
 
+def _element_signatures(n: np.ndarray, rec: np.ndarray, x: np.ndarray, weight: np.ndarray, short: np.ndarray, differ: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of single elements: a set's first d + 1, those with rare words first, an order that all sets share."""
+    held = short[rec]
+    r, e = rec[held], x[held]
+    order = np.lexsort((e, -weight[held], r))
+    r, e = r[order], e[order]
+    size = np.bincount(r, minlength=len(n))
+    kept = np.arange(len(r)) - (np.cumsum(size) - size)[r] <= differ[r]
+    return _mixed(e[kept] + np.uint64(0x9E3779B97F4A7C15)), r[kept]
+
+
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(cls, offsets, values) of each batch, a set that a batch holds several times once."""
     for batch in batches:
@@ -153,16 +234,31 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.n
         yield kept.column(0), offsets - offsets[0], lists.flatten().to_numpy()
 
 
-def signatures(sets: DataFrame, threshold: float) -> DataFrame:
-    """(sig, cls): the PartEnum signatures of each set, and element signatures of the sets that lack the guarantee."""
-    table = bands(threshold)
+def signatures(sets: DataFrame, threshold: float, enumerated: bool = False) -> DataFrame:
+    """(sig, cls, hot): the signatures of each set, hot where many sets of one batch share one.
+
+    Of the rows of a hot signature in a batch all are marked, and two are given unmarked as well: so whoever groups the
+    unmarked rows alone still finds the group, and no task has to hold all of it.
+    """
+    table, arrays = bands(threshold), enumerated_arrays if enumerated else signature_arrays
 
     def emit(batches):
         for cls, offsets, values in _batches(batches):
-            sig, owner, _ = signature_arrays(offsets, values, threshold, table)
-            yield pa.RecordBatch.from_arrays([pa.array(sig), cls.take(pa.array(owner))], names=["sig", "cls"])
-
-    return sets.select("cls", "sh").mapInArrow(emit, "sig bigint, cls bigint")
+            sig, owner, _ = arrays(offsets, values, threshold, table)
+            own, back, count = np.unique(sig, return_inverse=True, return_counts=True)
+            many = count >= HOT
+            hot = many[back]
+            again = np.zeros(0, dtype=np.int64)
+            if many.any():
+                at = np.flatnonzero(hot)
+                at = at[np.argsort(back[at], kind="stable")]
+                place = np.arange(len(at)) - np.searchsorted(back[at], back[at])
+                again = at[place < 2]
+            rows = np.concatenate([np.arange(len(sig)), again])
+            marks = np.concatenate([hot, np.zeros(len(again), dtype=bool)])
+            yield pa.RecordBatch.from_arrays([pa.array(sig[rows]), cls.take(pa.array(owner[rows])), pa.array(marks)], names=["sig", "cls", "hot"])
+
+    return sets.select("cls", "sh").mapInArrow(emit, "sig bigint, cls bigint, hot boolean")
 
 
 def sketch_arrays(offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,20 +281,57 @@ def sketches(sets: DataFrame) -> DataFrame:
     return every.groupBy("cls").agg(F.max("n").alias("n"), F.max("p0").alias("p0"), F.max("p1").alias("p1"))
 
 
-def candidate_pairs(sets: DataFrame, threshold: float, tables: SharedTables) -> DataFrame:
-    """Distinct (a, b), a < b, of classes that share a signature and whose sizes and parity bits allow the similarity.
+def met_signatures(sets: DataFrame, threshold: float, tables: SharedTables, enumerated: bool = False) -> DataFrame:
+    """Distinct (sig, cls) of the signatures that several classes share, written.
 
-    Signatures held by one class alone are dropped while they are grouped, in one pass over them; what is left is small
-    and is written before it is joined to itself.
+    Signatures held by one class alone are dropped while they are grouped, in one pass over them; rows of hot signatures
+    are known to be shared and don't take part in the grouping.
     """
-    group = W.partitionBy("sig")
-    met = signatures(sets, threshold).select("sig", "cls", F.min("cls").over(group).alias("lo"), F.max("cls").over(group).alias("hi")).where("lo < hi").select("sig", "cls")
-    shared = tables.put(met).distinct().join(sketches(sets), "cls")
-    left, right = (shared.select("sig", *[F.col(c).alias(f"{side}_{c}") for c in ("cls", "n", "p0", "p1")]) for side in ("a", "b"))
+    every = signatures(sets, threshold, enumerated)
+    group = W.partitionBy("sig", "hot", F.when(F.col("hot"), F.col("cls")))
+    met = every.select("sig", "cls", "hot", F.min("cls").over(group).alias("lo"), F.max("cls").over(group).alias("hi")).where("hot or lo < hi").select("sig", "cls")
+    return tables.put(met.distinct())
+
+
+def _possible(threshold: float) -> Column:
     ratio = (1 - threshold) / (1 + threshold)
     differing = "bit_count(a_p0 ^ b_p0) + bit_count(a_p1 ^ b_p1)"
-    possible = F.expr(f"a_cls < b_cls and a_n >= {threshold} * b_n - 1e-9 and b_n >= {threshold} * a_n - 1e-9 and {differing} <= {ratio!r} * (a_n + b_n) + 1e-9")
-    return left.join(right, "sig").where(possible).select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct()
+    return F.expr(f"a_cls < b_cls and a_n >= {threshold} * b_n - 1e-9 and b_n >= {threshold} * a_n - 1e-9 and {differing} <= {ratio!r} * (a_n + b_n) + 1e-9")
+
+
+def _side(name: str) -> list[Column]:
+    return [F.col(c).alias(f"{name}_{c}") for c in ("cls", "n", "p0", "p1")]
+
+
+def _meet(shared: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b, of the members of each group of ``shared(sig, cls, n, p0, p1)`` that may be similar."""
+    return shared.select("sig", *_side("a")).join(shared.select("sig", *_side("b")), "sig").where(_possible(threshold)).select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b"))
+
+
+def _meet_in_blocks(shared: DataFrame, threshold: float) -> DataFrame:
+    """The same for groups of any size: one of more than BLOCK members is cut into blocks, and each pair of blocks meets
+    under a key of its own, so the work of a group is spread over tasks."""
+    blocks = shared.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    cut = shared.join(blocks, "sig").withColumn("own", F.pmod(F.xxhash64("cls"), "blocks"))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    left = cut.select("sig", F.col("own").alias("i"), every.alias("j"), *_side("a"))
+    right = cut.select("sig", every.alias("i"), F.col("own").alias("j"), *_side("b"))
+    return left.join(right, ["sig", "i", "j"]).where(_possible(threshold)).select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b"))
+
+
+def candidate_pairs(sets: DataFrame, threshold: float, tables: SharedTables) -> DataFrame:
+    """Distinct (a, b), a < b, of classes that share a signature and whose sizes and parity bits allow the similarity.
+
+    Groups of HOT and more classes give way to the enumerated signatures of their members.
+    """
+    shared, sketched = met_signatures(sets, threshold, tables), sketches(sets)
+    crowds = tables.put(shared.groupBy("sig").agg(F.count("*").alias("members")).where(F.col("members") >= HOT).select("sig"))
+    if crowds.isEmpty():
+        return _meet(shared.join(sketched, "cls"), threshold).distinct()
+    cool = _meet(shared.join(crowds, "sig", "left_anti").join(sketched, "cls"), threshold)
+    crowded = tables.put(shared.join(crowds, "sig", "left_semi").select("cls").distinct())
+    thin = met_signatures(sets.join(crowded, "cls", "left_semi"), threshold, tables, enumerated=True)
+    return cool.unionByName(_meet_in_blocks(thin.join(sketched, "cls"), threshold)).distinct()
 
 
 def similar_classes(sets: DataFrame, threshold: float, tables: SharedTables) -> DataFrame:
@@ -223,7 +356,7 @@ def near_duplicates(records: DataFrame, id_col: str, text: str, k: int = 5, thre
     """
     narrow = records.select(id_col, text)
     tables = SharedTables(records.sparkSession, "neardup")
-    sets = tables.put(word_sets(narrow, id_col, text, k, common_words(narrow, text)))  # read several times below
+    sets = distinct_classes(tables.put(word_sets(narrow, id_col, text, k, common_words(narrow, text))), tables)  # read several times below
     members = sets.select("id", "cls").distinct()
     return members, similar_classes(sets, threshold, tables)
 
