@@ -58,7 +58,8 @@ def file_versions(log: DataFrame) -> DataFrame:
     are left out; observed_at null is older than any time; rows delivered twice count once.
     """
     state = F.struct(F.col("observed_at").alias("t"), F.when(F.coalesce("is_deleted", F.lit(False)), F.lit(None)).otherwise(F.lower(F.coalesce("sha256", F.lit("")))).alias("v"))
-    per_scan = log.where("scan_id is not null").groupBy(*KEY, "scan_id").agg(F.max(state).alias("s"))
+    # one exchange by file serves the grouping by scan and the windows
+    per_scan = log.where("scan_id is not null").select(*KEY, "scan_id", "observed_at", "is_deleted", "sha256").repartition(*KEY).groupBy(*KEY, "scan_id").agg(F.max(state).alias("s"))
     order = W.partitionBy(*KEY).orderBy("scan_id")
     running = per_scan.select(*KEY, F.col("scan_id").alias("from_scan"), F.max("s").over(order).alias("s"), F.lead("scan_id").over(order).alias("to_scan"))
     return running.select(*KEY, F.col("s.v").alias("version"), "from_scan", "to_scan").where("version is not null")
@@ -74,28 +75,32 @@ def replay_runs(log: DataFrame, runs: DataFrame) -> DataFrame:
     """Rows (run_id, project, rel_path): what each successful run had to process.
 
     The runs are replayed as increments into a target: the k-th successful runs of all projects are one increment, whose
-    source is the state of their projects at their scans. Failed, aborted and running runs publish nothing, so their
+    source is the state of their projects at their scans. In the replay files and versions go by numbers, given once where
+    the states are made, so that what each increment moves is narrow. Failed, aborted and running runs publish nothing, so their
     files stay due. There are as many increments as a project has successful runs; each reads the states once, without a
     shuffle, and joins them with what the target holds of the same projects.
     """
     spark = log.sparkSession
     tables = SharedTables(spark, "replay")
-    states = tables.put(file_versions(log))
+    numbered = file_versions(log).withColumn("id", F.monotonically_increasing_id())
+    least = lambda *by: F.min("id").over(W.partitionBy(*by))
+    states = tables.put(numbered.select(*KEY, "from_scan", "to_scan", least(*KEY).alias("file"), least(*KEY, "version").alias("version")))
     order = W.partitionBy("run_project").orderBy("run_id")
     ranked = tables.put(successful_runs(runs).withColumn("nth", F.row_number().over(order)))
     target, published = VersionedTarget(spark, f"{tables.root}/target"), []
     for nth in range(1, (ranked.agg(F.max("nth")).first()[0] or 0) + 1):
         due = ranked.where(F.col("nth") == nth)
         holds = (F.col("from_scan") <= F.col("at_scan")) & (F.col("to_scan").isNull() | (F.col("at_scan") < F.col("to_scan")))
-        source = states.join(due, F.col("project").eqNullSafe(F.col("run_project")) & holds).select(*KEY, "version")
+        source = states.join(due, F.col("project").eqNullSafe(F.col("run_project")) & holds).select("project", "file", "version")
         before = target.version()
-        if run_increment(source, target, KEY, "version", lambda changed: changed, scope=due.select(F.col("run_project").alias("project")), compact_after=None) > before:
+        if run_increment(source, target, ("project", "file"), "version", lambda changed: changed, scope=due.select(F.col("run_project").alias("project")), compact_after=None) > before:
             published.append((before + 1, nth))
     if not published:
         return states.select(F.lit(None).cast(runs.schema["run_id"].dataType).alias("run_id"), *KEY).limit(0)
     nth_of = reduce(lambda column, x: column.when(F.col("__part") == x[0], x[1]), published[1:], F.when(F.col("__part") == published[0][0], published[0][1]))
-    changes = target.changes().select(*KEY, nth_of.alias("change_nth"))
-    return changes.join(ranked, F.col("project").eqNullSafe(F.col("run_project")) & (F.col("nth") == F.col("change_nth"))).select("run_id", *KEY)
+    changes = target.changes().select("project", "file", nth_of.alias("change_nth"))
+    placed = changes.join(ranked, F.col("project").eqNullSafe(F.col("run_project")) & (F.col("nth") == F.col("change_nth"))).select("run_id", "file")
+    return placed.join(states.select("file", *KEY).distinct(), "file").select("run_id", *KEY)
 
 
 class VersionedTarget:
@@ -261,13 +266,12 @@ def run_increment(
     target outside it are left as they are. After ``compact_after`` parts the target is written anew as one part.
     Returns the current version; if nothing changed, no version is written. A run that dies before publishing has no
     effect, and repeating it does the same work once.
-    Defined cases: null keys and versions compare as values; of several source rows of a key each is processed, and the
-    greatest version is kept as the key's; an empty source makes all of the target gone; an empty target all new.
+    Defined cases: null keys and versions compare as values; the source holds one row for each key (of several, each
+    that differs from the target is processed); an empty source makes all of the target gone; an empty target all new.
     """
     at = target.version()
     tables = SharedTables(source.sparkSession, "increment")
-    plain = F.col(version).cast("string")
-    offered = source.groupBy(F.struct(*key).alias("__key")).agg(F.max(plain).alias("offered"), F.lit(True).alias("in_source"))
+    offered = source.select(F.struct(*key).alias("__key"), F.col(version).alias("offered"), F.lit(True).alias("in_source"))
     held = target.state(key, at)
     if held is None:
         change = offered.select("__key", "offered", F.lit("new").alias("change"))
