@@ -99,6 +99,48 @@ def flow_rank(path: Column) -> Column:
     return out
 
 
+def _first_that(rules, holds) -> Column:
+    """The name of the first rule of which one word holds, null if none does."""
+    out = F.lit(None).cast("string")
+    for name, words in reversed(rules):
+        out = F.when(reduce(lambda a, b: a | b, [holds(w) for w in words]), name).otherwise(out)
+    return out
+
+
+def spring_layer(name: Column, annotations: Column, path: Column) -> Column:
+    """Layer of a Spring symbol: by its first annotation that tells one, else by the end of its name, else by its path."""
+    each = F.filter(F.transform(F.coalesce(annotations, F.array().cast("array<string>")), lambda a: _first_that(fixed.SPRING_ANNOTATIONS, lambda w: F.regexp_extract(a, r"^@?(\w*)", 1) == w)), lambda x: x.isNotNull())
+    n, p = F.lower(name), F.lower(path)
+    return F.coalesce(F.try_element_at(each, F.lit(1)), _first_that(fixed.SPRING_SUFFIXES, n.endswith), _first_that(fixed.SPRING_FOLDERS, lambda w: F.contains(p, F.lit(w))))
+
+
+def go_layer(name: Column, path: Column) -> Column:
+    """Layer of a Go symbol: by its path, else by the end of its name."""
+    n, p = F.lower(name), F.concat(F.lit("/"), F.lower(path))
+    return F.coalesce(_first_that(fixed.GO_FOLDERS, lambda w: F.contains(p, F.lit(w))), _first_that(fixed.GO_SUFFIXES, n.endswith))
+
+
+def go_test_kind(name: Column) -> Column:
+    """test, benchmark or example by the beginning of a Go function's name, else null."""
+    return F.when(name.startswith("Test") & (F.length(name) > 4), "test").when(name.startswith("Benchmark") & (F.length(name) > 9), "benchmark").when(name.startswith("Example"), "example")
+
+
+def go_verb(call: Column) -> Column:
+    """The HTTP method that a router's method of that name registers, in capitals or title case, else null."""
+    known = F.upper(call).isin("GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS") & ((call == F.upper(call)) | (call == F.initcap(call)))
+    return F.when(known, F.upper(call)).when(call == "Any", "ANY")
+
+
+def go_framework(path: Column) -> Column:
+    """The web or test framework that a Go import path names, else null."""
+    return F.when(path == "net/http", "net/http").otherwise(_first_that(fixed.GO_FRAMEWORKS, lambda w: F.contains(path, F.lit(w))))
+
+
+def go_standard(path: Column) -> Column:
+    """Whether a Go import path is of the standard library."""
+    return ~path.rlike("[./]") | F.split(path, "/")[0].isin(*fixed.GO_STANDARD)
+
+
 def occurrences(text: Column, word: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)).cast("bigint")
 

@@ -29,6 +29,8 @@ LAYERS = (
 # Words of a path and their rank in a request's way through the layers.
 FLOW_RANKS = (("route", 0), ("controller", 1), ("handler", 1), ("service", 2), ("usecase", 2), ("repository", 3), ("repo", 3), ("store", 3), ("dao", 3), ("model", 4), ("entity", 4))
 
+RANK_NAMES = {0: "route", 1: "controller", 2: "service", 3: "repository", 4: "model"}
+
 # Words that don't tell projects apart, and suffixes of related project names.
 GENERIC_NAME_WORDS = ("api", "app", "web", "service", "engine", "core", "frontend", "backend", "src", "main")
 PROJECT_SUFFIXES = ("-engine", "-api", "-frontend", "-backend", "-service", "-web", "-app", "-core")
@@ -60,7 +62,26 @@ LANGUAGE_OF = {ext: language for language, exts in EXTENSIONS.items() for ext in
 
 # Folders that no repository walk enters.
 EXCLUDED_FOLDERS = (
-    ".git .hg .svn node_modules bower_components .angular .next .nuxt .svelte-kit __pycache__ .pytest_cache .mypy_cache .venv .gradle .idea .vs .cache .parcel-cache .turbo .nyc_output .docusaurus .terraform"
+    ".git .hg .svn node_modules bower_components .angular .next .nuxt .svelte-kit __pycache__ .pytest_cache .mypy_cache .venv .gradle .idea .vs .cache .parcel-cache .turbo .nyc_output .docusaurus .terraform .serverless .aws-sam cdk.out .dart_tool .pub-cache Pods DerivedData .bundle"
+).split()
+
+# Names by which programs start.
+BOOTSTRAP_NAMES = ("main", "bootstrap", "init", "start", "createserver", "app", "run")
+
+# Layers of Spring symbols, by annotation, by the end of the name and by a folder of the path.
+SPRING_ANNOTATIONS = (("controller", ("RestController", "Controller")), ("service", ("Service",)), ("repository", ("Repository",)), ("entity", ("Entity",)), ("config", ("Configuration", "Component")))
+SPRING_SUFFIXES = (("controller", ("controller", "resource")), ("service", ("service", "serviceimpl")), ("repository", ("repository", "repo", "dao")), ("dto", ("dto", "request", "response")), ("entity", ("entity",)), ("validator", ("validator",)), ("model", ("model",)))
+SPRING_FOLDERS = (("controller", ("/controller/", "/api/", "/rest/")), ("service", ("/service/",)), ("repository", ("/repository/", "/repo/", "/dao/")), ("dto", ("/dto/",)), ("entity", ("/entity/", "/domain/")), ("model", ("/model/",)))
+# Layers of Go symbols, by a folder of the path and by the end of the name.
+GO_FOLDERS = (
+    ("controller", ("/handler/", "/handlers/", "/api/", "/rest/")), ("service", ("/service/", "/services/", "/usecase/")), ("repository", ("/repo/", "/repository/", "/store/", "/dao/", "/persistence/")),
+    ("model", ("/model/", "/models/", "/entity/", "/domain/", "/dto/")), ("middleware", ("/middleware/", "/interceptor/")), ("config", ("/config/", "/cfg/")), ("entrypoint", ("/cmd/",)),
+)
+GO_SUFFIXES = (("controller", ("handler", "controller", "resource")), ("service", ("service", "svc", "usecase")), ("repository", ("repo", "repository", "store", "dao")), ("model", ("model", "dto", "entity")), ("middleware", ("middleware",)))
+# Frameworks by a part of a Go import path, and the first parts of the standard library's paths.
+GO_FRAMEWORKS = (("gin", ("gin-gonic/gin",)), ("echo", ("labstack/echo",)), ("chi", ("go-chi/chi",)), ("fiber", ("gofiber/fiber",)), ("gorilla", ("gorilla/mux",)), ("gokit", ("go-kit/kit",)), ("ginkgo", ("onsi/ginkgo", "onsi/gomega")))
+GO_STANDARD = (
+    "fmt net os io log sync time math sort strings strconv bytes errors context encoding crypto database html path regexp testing reflect runtime syscall unicode bufio archive compress container debug embed expvar flag go hash image index internal maps mime plugin slices text unsafe"
 ).split()
 
 # Words that start a branch, and operators that add one.

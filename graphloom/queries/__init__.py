@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.queries import graph, problems, texts
+from graphloom.queries import graph, problems, services, texts
 
-MODULES = (problems, graph, texts)
+MODULES = (problems, graph, texts, services)
 
 
 def queries() -> dict:
