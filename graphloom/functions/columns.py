@@ -77,6 +77,11 @@ def is_test_path(path: Column) -> Column:
     return any_of(p, (".test.", ".spec.", "__tests__/", "/tests/", "/test/", "test_")) | p.endswith("_test.go") | p.endswith("_test.rs")
 
 
+def is_test_file(path: Column) -> Column:
+    """Whether a path is one of test code, by whole folders and the ends of the file's name."""
+    return F.lower(path).rlike(r"(^|/)(tests?|__tests__|spec)/|\.test\.|\.spec\.|(^|/)test_[^/]*$|_test\.[^./]*$")
+
+
 def path_penalty(path: Column) -> Column:
     """What a path takes from a search score: 0.4 for tests, 0.3 for mocks and fixtures."""
     p = F.lower(path)

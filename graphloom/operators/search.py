@@ -74,3 +74,13 @@ def bm25(docs: DataFrame, doc_id: str, text: str, query: str, limit: int, k1: fl
     term = lambda i: idf(i) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hit.select("doc", reduce(lambda x, y: x + y, [term(i) for i in range(len(wanted))]).alias("score"))
     return scored.orderBy(F.desc("score"), "doc").limit(limit)
+
+
+def with_metadata(nodes: DataFrame, label: str | None = None, test: bool | None = None, exported: bool | None = None, entry_point: bool | None = None, least_complexity: int | None = None) -> DataFrame:
+    """Nodes whose label and properties fit all of the given conditions."""
+    held = lambda key: F.lower(F.get_json_object("properties", f"$.{key}"))
+    kept = nodes if label is None else nodes.where(F.col("label") == label)
+    for key, value in (("is_test", test), ("is_exported", exported), ("is_entry_point", entry_point)):
+        if value is not None:
+            kept = kept.where(F.coalesce(held(key), F.lit("false")) == str(value).lower())
+    return kept if least_complexity is None else kept.where(F.expr("try_cast(get_json_object(properties, '$.complexity') as int)") >= least_complexity)

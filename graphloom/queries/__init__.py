@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.queries import graph, problems, services, texts
+from graphloom.queries import code, graph, problems, services, texts
 
-MODULES = (problems, graph, texts, services)
+MODULES = (problems, graph, texts, services, code)
 
 
 def queries() -> dict:

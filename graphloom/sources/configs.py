@@ -8,7 +8,8 @@ import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 try:
     import yaml
@@ -84,6 +85,14 @@ def gitlab(text: str) -> Rows:
             nodes.append(("Job", str(name), stage))
             edges.append(("BELONGS_TO_STAGE", str(name), stage))
             edges += [("DEPENDS_ON", str(name), str(n.get("job") if isinstance(n, dict) else n)) for n in _list(job.get("needs"))]
+            edges += _deploys(str(name), job.get("before_script"), job.get("script"))
+        for told in _list(d.get("include")):  # an included file or component stands as a job of its name
+            place = told if isinstance(told, str) else str(told.get("component") or told.get("local") or "")
+            job = re.sub(r"\.ya?ml$", "", place.rsplit("/", 1)[-1].split("@")[0])
+            stage = str((told.get("inputs") or {}).get("stage", "")) if isinstance(told, dict) else ""
+            if job:
+                nodes.append(("Job", job, stage))
+                edges += [("BELONGS_TO_STAGE", job, stage)] if stage else []
     return nodes, edges
 
 
@@ -99,8 +108,11 @@ def github(text: str) -> Rows:
         triggers = d.get("on", d.get(True))
         names = sorted(triggers) if isinstance(triggers, dict) else _list(triggers)
         nodes.append(("Pipeline", str(d.get("name", "")), ",".join(map(str, names))))
-        n, e = _jobs(d.get("jobs") or {}, "needs")
+        jobs = d.get("jobs") or {}
+        n, e = _jobs(jobs, "needs")
         nodes, edges = nodes + n, edges + e
+        for name, job in jobs.items():
+            edges += _deploys(str(name), [step.get("run") for step in _list(job.get("steps")) if isinstance(step, dict) and step.get("run")]) if isinstance(job, dict) else []
     return nodes, edges
 
 
@@ -109,6 +121,8 @@ def circleci(text: str) -> Rows:
     nodes, edges = [], []
     for d in _documents(text):
         nodes += [("Job", str(j), "") for j in d.get("jobs") or {}]
+        for name, job in (d.get("jobs") or {}).items():
+            edges += _deploys(str(name), [step.get("run") for step in _list(job.get("steps")) if isinstance(step, dict) and step.get("run")]) if isinstance(job, dict) else []
         for flow in (d.get("workflows") or {}).values():
             for entry in _list(flow.get("jobs") if isinstance(flow, dict) else None):
                 if isinstance(entry, dict):
@@ -120,6 +134,9 @@ def azure(text: str) -> Rows:
     """Stages, their jobs and dependencies."""
     nodes, edges = [], []
     for d in _documents(text):
+        trigger = d.get("trigger")
+        names = trigger.get("branches", {}).get("include", []) if isinstance(trigger, dict) else _list(trigger)
+        nodes.append(("Pipeline", str(d.get("name", "")), ",".join(map(str, names))))
         stages = [s for s in _list(d.get("stages")) if isinstance(s, dict)]
         names = [str(s.get("stage", "")) for s in stages]
         nodes += [("Stage", n, str(i)) for i, n in enumerate(names)]
@@ -230,6 +247,39 @@ def cloudformation(text: str) -> Rows:
     return nodes, edges
 
 
+def serverless(text: str) -> Rows:
+    """Functions of a service and the routes of their HTTP events."""
+    nodes, edges = [], []
+    for d in _documents(text):
+        for name, f in (d.get("functions") or {}).items():
+            if not isinstance(f, dict):
+                continue
+            nodes.append(("Infra", str(name), str(f.get("handler", ""))))
+            for event in _list(f.get("events")):
+                for kind in ("http", "httpApi"):
+                    told = event.get(kind) if isinstance(event, dict) else None
+                    if isinstance(told, str):
+                        method, _, path = told.partition(" ")
+                    elif isinstance(told, dict):
+                        method, path = str(told.get("method", "any")), str(told.get("path", ""))
+                    else:
+                        continue
+                    route = f"{method.upper()} /{path.lstrip('/')}"
+                    nodes.append(("Route", route, ""))
+                    edges.append(("HANDLES_ROUTE", str(name), route))
+    return nodes, edges
+
+
+# Commands of a script that deploy or build an image, the edge and its end.
+_COMMANDS = (("DEPLOYS", "deploy_target", r"terraform (?:apply|plan)|kubectl apply|helm (?:install|upgrade)"), ("BUILDS_IMAGE", "docker_target", r"docker (?:build|push)"))
+
+
+def _deploys(job: str, *scripts) -> list[tuple[str, str, str]]:
+    """What the scripts of a job deploy or build, each kind once."""
+    text = "\n".join(str(x.get("command", "")) if isinstance(x, dict) else str(x) for s in scripts for x in _list(s))
+    return [(kind, job, end) for kind, end, pattern in _COMMANDS if re.search(pattern, text)]
+
+
 def helm_chart(text: str) -> Rows:
     """A chart and its dependencies."""
     docs = _documents(text)
@@ -240,7 +290,7 @@ def kind_of(path: str, text: str) -> str | None:
     """Which reader a file takes, by path and content."""
     name = path.rsplit("/", 1)[-1]
     # File names and folders of the systems.
-    by_name = {".gitlab-ci.yml": "gitlab", "Jenkinsfile": "jenkins", "azure-pipelines.yml": "azure", "bitbucket-pipelines.yml": "bitbucket", "kustomization.yaml": "kustomize", "kustomization.yml": "kustomize", "Chart.yaml": "helm_chart"}
+    by_name = {".gitlab-ci.yml": "gitlab", "Jenkinsfile": "jenkins", "azure-pipelines.yml": "azure", "bitbucket-pipelines.yml": "bitbucket", "kustomization.yaml": "kustomize", "kustomization.yml": "kustomize", "Chart.yaml": "helm_chart", "serverless.yml": "serverless", "serverless.yaml": "serverless"}
     if name in by_name:
         return by_name[name]
     if path.endswith(".circleci/config.yml"):
@@ -259,7 +309,7 @@ def kind_of(path: str, text: str) -> str | None:
     return None
 
 
-READERS = {f.__name__: f for f in (gitlab, github, circleci, azure, bitbucket, jenkins, kubernetes, kustomize, dockerfile, terraform, cloudformation, helm_chart)}
+READERS = {f.__name__: f for f in (gitlab, github, circleci, azure, bitbucket, jenkins, kubernetes, kustomize, dockerfile, terraform, cloudformation, serverless, helm_chart)}
 
 
 def config_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -272,7 +322,9 @@ def config_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
                 for path, text in zip(pdf["rel_path"], pdf["content"]):
                     kind = kind_of(path, text) if text else None
                     if kind:
-                        rows += [(path, *([kind] if which == 0 else []), *r) for r in READERS[kind](text)[which]]
+                        stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                        found = [(r[0], stem, *r[2:]) if r[:2] == ("Pipeline", "") else r for r in READERS[kind](text)[which]]  # a pipeline without a name has the file's
+                        rows += [(path, *([kind] if which == 0 else []), *r) for r in found]
                 yield pd.DataFrame(rows, columns=columns)
 
         return emit
@@ -280,3 +332,40 @@ def config_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     narrow = files.select("rel_path", "content")
     names = lambda spec: [c.split()[0] for c in spec.split(", ")]
     return narrow.mapInPandas(run(0, names(NODES)), NODES), narrow.mapInPandas(run(1, names(EDGES)), EDGES)
+
+
+def kinds(files: DataFrame) -> DataFrame:
+    """(rel_path, kind) of the files among ``files(rel_path, content)`` that a reader takes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [kind_of(p, t) if t else None for p, t in zip(pdf["rel_path"], pdf["content"])]
+            yield pd.DataFrame({"rel_path": pdf["rel_path"], "kind": found}).dropna()
+
+    return files.select("rel_path", "content").mapInPandas(run, "rel_path string, kind string")
+
+
+def manifests(files: DataFrame) -> DataFrame:
+    """(rel_path, package) of what the manifests among ``files(rel_path, content)`` name; broken ones name nothing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(p, k) for p, t in zip(pdf["rel_path"], pdf["content"]) if t for k in manifest(p.rsplit("/", 1)[-1], t)]
+            yield pd.DataFrame(rows, columns=["rel_path", "package"])
+
+    return files.select("rel_path", "content").mapInPandas(run, "rel_path string, package string")
+
+
+def compile_database(files: DataFrame) -> DataFrame:
+    """(file, includes, definitions, standard) of the entries of the compilation databases among ``files(rel_path, content)``."""
+    entry = "array<struct<file: string, command: string, arguments: array<string>>>"
+    each = files.where(F.col("rel_path").endswith("compile_commands.json")).select(F.explode(F.from_json("content", entry)).alias("e"))
+    words = F.coalesce("e.arguments", F.split("e.command", r"\s+"))
+    rows = each.select("e.file", words.alias("w")).where("file is not null")
+
+    def given(flag: str) -> Column:
+        taken = F.transform("w", lambda x, i: F.when(x == flag, F.try_element_at("w", i + 2)).when(x.startswith(flag), F.substring(x, len(flag) + 1, 10_000)))
+        return F.array_join(F.filter(taken, lambda x: x.isNotNull()), ",")
+
+    std = F.try_element_at(F.filter("w", lambda x: x.startswith("-std=")), F.lit(1))
+    return rows.select("file", given("-I").alias("includes"), given("-D").alias("definitions"), F.substring(std, 6, 100).alias("standard"))

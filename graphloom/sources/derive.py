@@ -80,3 +80,22 @@ def cross_routes(declared: DataFrame, called: DataFrame, links: DataFrame) -> Da
     """Linked projects that hold the same method and route template, over declared and called routes together."""
     cols = ["project", "rel_path", "method", "template"]
     return shared_between_projects(declared.select(*cols).unionByName(called.select(*cols)), ["method", "template"], links)
+
+
+def linked_pairs(rows: DataFrame, key: list[str], links: DataFrame) -> DataFrame:
+    """(source_id, target_id) of ``rows(project, id, key...)`` of linked projects that agree in the key, in both directions."""
+    both = links.select("source_project", "target_project").unionByName(links.select(F.col("target_project").alias("source_project"), F.col("source_project").alias("target_project"))).where("source_project <> target_project").distinct()
+    held = rows.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key]))
+    a, b = held.select(F.col("project").alias("source_project"), *key, F.col("id").alias("source_id")), held.select(F.col("project").alias("target_project"), *key, F.col("id").alias("target_id"))
+    return both.join(a, "source_project").join(b, ["target_project", *key]).select("source_id", "target_id").distinct()
+
+
+def trace_edges(traces: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(source_id, target_id) of ``traces(project, traces)``, JSON lists of objects with source and target names.
+
+    A name stands for the node of the least id that has it in the project; entries that name no node are left out.
+    """
+    each = traces.select("project", F.explode(F.from_json("traces", "array<struct<source: string, target: string>>")).alias("t")).select("project", "t.source", "t.target")
+    first = nodes.groupBy("project", "name").agg(F.min("id").alias("id"))
+    a, b = first.select("project", F.col("name").alias("source"), F.col("id").alias("source_id")), first.select("project", F.col("name").alias("target"), F.col("id").alias("target_id"))
+    return each.join(a, ["project", "source"]).join(b, ["project", "target"]).select("source_id", "target_id").distinct()

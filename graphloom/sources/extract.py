@@ -83,12 +83,12 @@ INDENTED = {
 }
 CONTAINERS = frozenset(("Class", "Interface", "Enum", "Impl", "Module"))
 # Words before a parenthesis that declare nothing.
-_CONTROL = frozenset("if for while switch catch return match else do try with foreach using lock assert throw new await sizeof typeof super this synchronized defer go select yield case when unless until elif and or not in is as function".split())
+_CONTROL = frozenset("if for while switch catch return else do try with foreach using lock assert throw new await sizeof typeof super this synchronized case when in is as function".split())
 _BASES = frozenset("extends implements with".split())
 _TEST_PATH = re.compile(r"(^|/)tests?/|\.test\.|\.spec\.|_test\.|(^|/)test_")
 _ENTRY = frozenset("main Main".split())
 
-_STRINGS = r'"""[\s\S]*?(?:"""|\Z)|[rR]#+"[\s\S]*?"#+|"(?:[^"\\\n]|\\.)*+"?|`(?:[^`\\]|\\[\s\S])*+`?'
+_STRINGS = r'"""[\s\S]*?(?:"""|\Z)|[rR]#+"[\s\S]*?"#+|"(?:[^"\\\n]|\\.)*+"?|`(?:[^`\\$]|\\[\s\S]|\$\{(?:[^{}`]|`[^`]*`|\{[^{}]*\})*\}|\$)*+`?'
 _CHAR = r"|'(?:[^'\\\n]|\\.)*+'"
 _REST = r"|(?P<word>[A-Za-z_$@][\w$]*|\w+)|(?P<mark>::|->|=>|:=|[^\s\w])"
 _LEXERS = {
