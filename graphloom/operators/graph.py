@@ -66,19 +66,30 @@ def paths(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the least id that each node of ``links(a, b)`` is connected with.
 
-    Rounds of taking the least label among the neighbours, followed by label-of-label jumps, until nothing changes.
+    Alternating large and small stars: links are moved to the least neighbour, of the greater neighbours in one step and of
+    the others in the next, until every node hangs from the least one of its component. The steps grow with the logarithm
+    of the nodes, not with the diameter. The centre of a star is a hot key only on the side of the links; the other side
+    has one row for it, so adaptive execution may split it.
     """
     tables = SharedTables(links.sparkSession, "components")
-    both = tables.put(links.where("a is not null and b is not null").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct())
-    label = tables.put(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
+    given = links.where("a is not null and b is not null").select("a", "b")
+    nodes = tables.put(given.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    current = tables.replace(given.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    mark = lambda df: df.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("h")).first()
+    before = mark(current)
     while True:
-        near = both.join(label.select(F.col("id").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("m"))
-        step = label.join(near, "id").select("id", "component", F.least("component", "m").alias("lower"))
-        jump = label.select(F.col("id").alias("lower"), F.col("component").alias("far"))
-        new = tables.put(step.join(jump, "lower").select("id", F.least("lower", "far").alias("component"), (F.least("lower", "far") != F.col("component")).alias("changed")))
-        label = new.select("id", "component")
-        if new.where("changed").isEmpty():
-            return label
+        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        current = tables.replace(large)
+        down = current.groupBy("u").agg(F.min("v").alias("m"))  # every link runs from the greater to the lesser id
+        moved = current.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        current = tables.replace(moved.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
+        now = mark(current)
+        if now == before:
+            break
+        before = now
+    return nodes.join(current.select(F.col("u").alias("id"), F.col("v").alias("m")), "id", "left").select("id", F.coalesce("m", "id").alias("component"))
 
 
 def levels(depends: DataFrame) -> DataFrame:
@@ -106,16 +117,36 @@ def levels(depends: DataFrame) -> DataFrame:
 def enclosing(sites: DataFrame, spans: DataFrame, width: int = 64) -> DataFrame:
     """Each site (file, line, ...) with the id of the latest-starting span (file, id, start_line, end_line) around it, or null.
 
-    Spans are spread over buckets of ``width`` lines, so the range join becomes an equi-join on file and bucket. Ties of
-    start_line go to the least id; spans with a null or negative range hold nothing.
+    Spans are spread over buckets of ``width`` lines, so the range join becomes an equi-join on file and bucket; no further
+    than to the last site of the file, whatever end a dirty row names. Ties of start_line go to the least id; spans with a
+    null or negative range hold nothing.
     """
-    spread = spans.where("start_line <= end_line and start_line >= 0").select("file", "id", "start_line", "end_line", F.explode(F.expr(f"sequence(start_line div {width}, end_line div {width})")).alias("bucket"))
+    last = sites.groupBy(F.col("file").alias("f")).agg(F.max("line").alias("last"))
+    valid = spans.where("start_line <= end_line and start_line >= 0").join(last, F.col("file") == F.col("f")).where("start_line <= last")
+    spread = valid.select("file", "id", "start_line", "end_line", F.explode(F.expr(f"sequence(start_line div {width}, least(end_line, last) div {width})")).alias("bucket"))
     marked = sites.withColumn("bucket", F.expr(f"line div {width}"))
     hit = marked.join(spread, ["file", "bucket"], "left").withColumn("inside", F.col("line").between(F.col("start_line"), F.col("end_line")))
     best = F.max_by(F.when(F.col("inside"), F.col("id")), F.when(F.col("inside"), F.struct("start_line", -F.col("id"))))
     return hit.groupBy(*[c for c in sites.columns]).agg(best.alias("span_id"))
 
 
+def overlapping(a: DataFrame, b: DataFrame, width: int = 64) -> DataFrame:
+    """(a, b) of the spans (file, id, start_line, end_line) of both sides that share a line of a file.
+
+    Both are spread over buckets of lines, and a pair is kept in the bucket in which the later one starts, so each comes
+    out once. Spans reach no further than the last start of the other side in the file.
+    """
+
+    def spread(side: DataFrame, other: DataFrame, name: str) -> DataFrame:
+        last = other.groupBy(F.col("file").alias("f")).agg(F.max(F.greatest("start_line", F.lit(0))).alias("last"))
+        valid = side.where("start_line <= end_line and start_line >= 0").join(last, F.col("file") == F.col("f"))
+        bucket = F.explode(F.expr(f"sequence(start_line div {width}, greatest(start_line, least(end_line, last)) div {width})"))
+        return valid.select("file", bucket.alias("bucket"), F.col("id").alias(name), F.col("start_line").alias(f"{name}_start"), F.col("end_line").alias(f"{name}_end"))
+
+    both = spread(a, b, "a").join(spread(b, a, "b"), ["file", "bucket"])
+    return both.where(f"a_start <= b_end and b_start <= a_end and greatest(a_start, b_start) div {width} = bucket").select("a", "b")
+
+
 def qualified_matches(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each reference (ref) with the id of the node of that qualified name, else of the only node whose last part it ends in."""
     exact = nodes.groupBy(F.col("qualified_name").alias("ref")).agg(F.min("id").alias("exact_id"))
@@ -125,10 +156,17 @@ def qualified_matches(refs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def supersets(owners: DataFrame, needs: DataFrame) -> DataFrame:
-    """(owner, need) where the owner's members (owner, member) include all members of the need (need, member)."""
-    size = needs.distinct().groupBy("need").agg(F.count("*").alias("size"))
-    held = owners.distinct().join(needs.distinct(), "member").groupBy("owner", "need").agg(F.count("*").alias("held"))
-    return held.join(size, "need").where("held = size").select("owner", "need")
+    """(owner, need) where the owner's members (owner, member) include all members of the need (need, member).
+
+    Candidates come from the member of each need that fewest owners hold, so a member that very many hold makes no pairs
+    unless a need has nothing rarer; the other members are looked up for the candidates only.
+    """
+    held, wanted = owners.select("owner", "member").distinct(), needs.select("need", "member").distinct()
+    often = held.groupBy("member").agg(F.count("*").alias("owners"))
+    known = wanted.join(often, "member", "left").groupBy("need").agg(F.count("*").alias("size"), F.min_by("member", F.struct(F.coalesce("owners", F.lit(0)), "member")).alias("member"))
+    candidates = known.join(held, "member").select("owner", "need", "size")
+    met = candidates.join(wanted, "need").join(held, ["owner", "member"]).groupBy("owner", "need", "size").agg(F.count("*").alias("n"))
+    return met.where("n = size").select("owner", "need")
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list, n: int) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ COLUMNS = {
     "start_line": "start_line", "startline": "start_line", "end_line": "end_line", "endline": "end_line",
 }
 NODE_COLUMNS = ("id", "label", "name", "qualified_name", "file_path", "start_line", "end_line")
-_TOKEN = re.compile(r"\s*(?:(?P<str>'[^']*'|\"[^\"]*\")|(?P<int>-?\d+)|(?P<word>[A-Za-z_]\w*)|(?P<op><>|<=|>=|<-|->|[-()\[\]:,.=<>*]))")
+_TOKEN = re.compile(r"\s*(?:(?P<str>'[^']*'|\"[^\"]*\")|(?P<int>-?\d+(?:\.\d+)?)|(?P<word>[A-Za-z_]\w*)|(?P<op><>|<=|>=|<-|->|[-()\[\]:,.=<>*]))")
 
 
 class CypherError(ValueError):
@@ -120,7 +121,7 @@ class _Parser:
         if kind == "str":
             return text[1:-1]
         if kind == "int":
-            return int(text)
+            return float(text) if "." in text else int(text)
         if text.upper() in ("TRUE", "FALSE"):
             return text.upper() == "TRUE"
         raise CypherError(f"expected a value, found {text!r}")
@@ -217,48 +218,62 @@ def parse(text: str) -> Query:
     return _Parser(text).query()
 
 
-def _column(variable: str, prop: str) -> Column:
-    known = COLUMNS.get(prop.lower())
+#: Rows that one side of an unconnected pattern may have.
+UNCONNECTED_ROWS = 1000
+#: Columns that hold numbers.
+NUMBERS = frozenset(("id", "start_line", "end_line"))
+#: Rows of a query without LIMIT, and the columns of relationship queries, in compatible mode.
+COMPATIBLE_LIMIT, COMPATIBLE_COLUMNS = 100, ("name", "label", "qualified_name")
+
+
+def _column(variable: str, prop: str, compatible: bool = False) -> Column:
+    known = COLUMNS.get(prop.lower(), "name" if compatible else None)
     return F.col(f"`{variable}.{known}`") if known else F.get_json_object(F.col(f"`{variable}.properties`"), f"$.{prop}")
 
 
-def _condition(c: tuple) -> Column:
+def _comparable(col: Column, prop: str, value) -> tuple[Column, object]:
+    """Column and value as numbers or as texts, so that what is no number compares as null instead of ending the job."""
+    if COLUMNS.get(prop.lower()) in NUMBERS:
+        return (col, value) if isinstance(value, (int, float)) else (col.cast("string"), str(value))
+    if prop.lower() in COLUMNS or isinstance(value, bool) or not isinstance(value, (int, float)):
+        return col, str(value).lower() if isinstance(value, bool) else str(value)
+    return col.try_cast("double"), float(value)
+
+
+def _condition(c: tuple, compatible: bool = False) -> Column:
     if c[0] == "and":
-        return _condition(c[1]) & _condition(c[2])
+        return _condition(c[1], compatible) & _condition(c[2], compatible)
     if c[0] == "or":
-        return _condition(c[1]) | _condition(c[2])
+        return _condition(c[1], compatible) | _condition(c[2], compatible)
     if c[0] == "not":
-        return ~_condition(c[1])
+        return ~_condition(c[1], compatible)
     op, variable, prop, value = c
-    col = _column(variable, prop)
-    if prop.lower() not in COLUMNS and not isinstance(value, list):
-        value = str(value).lower() if isinstance(value, bool) else value
-        col = F.try_to_number(col, F.lit("999999999999")) if isinstance(value, int) else col
-    match op:
-        case "contains":
-            return F.contains(F.lower(col), F.lit(str(value).lower()))
-        case "starts":
-            return F.lower(col).startswith(str(value).lower())
-        case "ends":
-            return F.lower(col).endswith(str(value).lower())
-        case "in":
-            return col.isin(value)
-        case "=":
-            return col == value
-        case "<>":
-            return col != value
-        case "<":
-            return col < value
-        case ">":
-            return col > value
-        case "<=":
-            return col <= value
-    return col >= value
-
-
-def run(text: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    col = _column(variable, prop, compatible)
+    if op == "in":
+        pairs = [_comparable(col, prop, v) for v in value]
+        return reduce(lambda a, b: a | b, [x == v for x, v in pairs], F.lit(False))
+    if op in ("contains", "starts", "ends"):
+        low, word = F.lower(col), str(value).lower()
+        return {"contains": lambda: F.contains(low, F.lit(word)), "starts": lambda: low.startswith(word), "ends": lambda: low.endswith(word)}[op]()
+    x, v = _comparable(col, prop, value)
+    return {"=": x == v, "<>": x != v, "<": x < v, ">": x > v, "<=": x <= v, ">=": x >= v}[op]
+
+
+def _together(plan: DataFrame, more: DataFrame) -> DataFrame:
+    """All pairs of the rows of two unconnected patterns, of which one must be small."""
+    small = [df for df in (plan, more) if df.limit(UNCONNECTED_ROWS + 1).count() <= UNCONNECTED_ROWS]
+    if not small:
+        raise CypherError(f"the pattern falls into parts that aren't connected and have more than {UNCONNECTED_ROWS} rows each")
+    return plan.crossJoin(F.broadcast(more) if small[-1] is more else more)
+
+
+def run(text: str, nodes: DataFrame, edges: DataFrame, compatible: bool = False) -> DataFrame:
     """The plan of a query over nodes and edges.
 
+    ``compatible`` answers as servers of this language do that know a few columns only: without LIMIT 100 rows, an unknown
+    property stands for the name, and a relationship query gives name, label and qualified name of both ends and the type,
+    whatever it returns.
+
     Labels and types are filtered at the scans. Relationships are unique by source, target and type; the variables of a
     pattern are joined by equality, so Catalyst orders and prunes. Unbound variables raise CypherError.
     """
@@ -280,7 +295,7 @@ def run(text: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if plan is None:
             plan, bound[a] = scan(a), None
         elif a not in bound and b not in bound:
-            plan, bound[a] = plan.crossJoin(scan(a)), None
+            plan, bound[a] = _together(plan, scan(a)), None
         if a in bound:
             on = F.col(f"`{a}.id`") == F.col(f"`{h.variable}.s`")
             if b in bound:
@@ -293,17 +308,21 @@ def run(text: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
             plan, bound[a] = plan.join(scan(a), F.col(f"`{a}.id`") == F.col(f"`{h.variable}.s`")), None
     for v in q.labels:
         if v not in bound:
-            plan, bound[v] = (scan(v) if plan is None else plan.crossJoin(scan(v))), None
+            plan, bound[v] = (scan(v) if plan is None else _together(plan, scan(v))), None
     kinds = {h.variable for h in q.hops}
     for kind, variable, _, _ in q.items:
         if variable != "*" and variable not in bound and not (variable in kinds and kind in ("type", "count")):
             raise CypherError(f"unbound variable {variable}")
     if q.where is not None:
-        plan = plan.where(_condition(q.where))
-    outputs, counts = [], []
-    for kind, variable, prop, name in q.items:
+        plan = plan.where(_condition(q.where, compatible))
+    outputs, counts, items = [], [], q.items
+    if compatible and q.hops and not any(i[0] == "count" for i in items):
+        h = q.hops[0]
+        outputs = [F.col(f"`{v}.{c}`").alias(f"{v}.{c}") for v in (h.source, h.target) for c in COMPATIBLE_COLUMNS] + [F.col(f"`{h.variable}.type`").alias("type")]
+        items = []
+    for kind, variable, prop, name in items:
         if kind == "prop":
-            outputs.append(_column(variable, prop).alias(name))
+            outputs.append(_column(variable, prop, compatible).alias(name))
         elif kind == "type":
             outputs.append(F.col(f"`{variable}.type`").alias(name))
         elif kind == "node":
@@ -318,4 +337,5 @@ def run(text: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
         plan = plan.distinct()
     if q.order:
         plan = plan.orderBy(*[F.col(f"`{k}`").asc() if up else F.col(f"`{k}`").desc() for k, up in q.order])
-    return plan if q.limit is None else plan.limit(q.limit)
+    limit = COMPATIBLE_LIMIT if compatible and q.limit is None else q.limit
+    return plan if limit is None else plan.limit(limit)

@@ -152,10 +152,9 @@ def j6_enclosing(nodes, edges):
 SELECT a.id AS a, b.id AS b FROM nodes a JOIN nodes b ON a.project = b.project AND a.file_path = b.file_path AND a.start_line <= b.end_line AND a.end_line >= b.start_line
 WHERE a.label IN ('Class', 'Impl') AND b.label IN ('Function', 'Method')""")
 def j7_overlaps(nodes, edges):
-    cols = ["project", "file_path", "id", "start_line", "end_line"]
-    a = nodes.where(F.col("label").isin("Class", "Impl")).select(*cols)
-    b = nodes.where(F.col("label").isin("Function", "Method")).select("project", "file_path", F.col("id").alias("b"), F.col("start_line").alias("bs"), F.col("end_line").alias("be"))
-    return a.join(b, ["project", "file_path"]).where("start_line <= be and end_line >= bs").select(F.col("id").alias("a"), "b")
+    key = F.concat_ws("|", "project", "file_path").alias("file")
+    spans = lambda *labels: nodes.where(F.col("label").isin(*labels) & F.col("project").isNotNull() & F.col("file_path").isNotNull()).select(key, "id", "start_line", "end_line")
+    return G.overlapping(spans("Class", "Impl"), spans("Function", "Method"))
 
 
 @query("SELECT 'label' AS what, label AS value, count(*) AS n FROM nodes GROUP BY ALL UNION ALL SELECT 'type', type, count(*) FROM edges GROUP BY ALL")

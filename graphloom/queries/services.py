@@ -490,3 +490,48 @@ def ep24_similar_functions(symbols):
 @R.whole("fingerprints", sql=_links_sql("WITH m AS (SELECT symbol_id, hashes AS sig FROM fingerprints WHERE len(hashes) = 128)"))
 def j12_similar_fingerprints(fingerprints):
     return M.class_links(*M.similar_signatures(fingerprints, "symbol_id", "hashes"))
+
+
+_OWN = [("a", "Run"), ("a", "Stop"), ("a", "Go"), ("b", "Run"), ("c", "Run"), ("c", "Stop")]
+_NEEDS = [("X", "Run"), ("X", "Stop"), ("Y", "Go"), ("Z", "Run"), ("W", "Fly"), ("W", "Run")]
+
+
+@R.sample(sql="SELECT o.owner, n.need FROM (SELECT DISTINCT owner FROM owners) o, (SELECT need, count(*) AS size FROM needs GROUP BY 1) n WHERE (SELECT count(*) FROM owners a JOIN needs b ON b.member = a.member WHERE a.owner = o.owner AND b.need = n.need) = n.size", owners=("owner string, member string", _OWN), needs=("need string, member string", _NEEDS))
+def ep14_interface_satisfaction(owners, needs):
+    """Types whose methods include all of an interface's: relational division."""
+    return G.supersets(owners, needs)
+
+
+def _pattern(text: str):
+    from graphloom.plans import cypher
+
+    return lambda nodes, edges: cypher.run(text, nodes, edges, compatible=True)
+
+
+@R.whole("nodes", "edges", sql="SELECT qualified_name AS \"n.qualified_name\" FROM nodes WHERE label = 'Class' ORDER BY qualified_name LIMIT 100")
+def t2_default_limit(nodes, edges):
+    return _pattern("MATCH (n:Class) RETURN n.qualified_name ORDER BY n.qualified_name")(nodes, edges)
+
+
+@R.sample("nodes", "edges", sql="SELECT a.name AS \"a.name\", a.label AS \"a.label\", a.qualified_name AS \"a.qualified_name\", b.name AS \"b.name\", b.label AS \"b.label\", b.qualified_name AS \"b.qualified_name\", e.type FROM (SELECT DISTINCT source_id, target_id, type FROM edges) e JOIN nodes a ON a.id = e.source_id JOIN nodes b ON b.id = e.target_id WHERE e.type = 'CALLS'")
+def pj4_relationship_columns(nodes, edges):
+    return _pattern("MATCH (a)-[r:CALLS]->(b) RETURN a.name")(nodes, edges)
+
+
+@R.sample("nodes", "edges", sql="SELECT name AS \"n.oddity\" FROM nodes WHERE name = 'main'")
+def pj3_unknown_property(nodes, edges):
+    return _pattern("MATCH (n) WHERE n.whatever = 'main' RETURN n.oddity")(nodes, edges)
+
+
+@R.sample("nodes", "edges", sql="SELECT id AS \"n.id\", label AS \"n.label\", name AS \"n.name\", qualified_name AS \"n.qualified_name\", file_path AS \"n.file_path\", start_line AS \"n.start_line\", end_line AS \"n.end_line\" FROM nodes WHERE label = 'Route'")
+def pj2_whole_nodes(nodes, edges):
+    from graphloom.plans import cypher
+
+    return cypher.run("MATCH (n:Route) RETURN n", nodes, edges)
+
+
+@R.sample("nodes", "edges", sql="SELECT id FROM nodes WHERE (TRY_CAST(json_extract_string(properties, '$.complexity') AS DOUBLE) >= 7 OR json_extract_string(properties, '$.framework') IN ('10', 'react') OR start_line IN (4, 5)) AND name <> '10'")
+def fp1_typed_comparisons(nodes, edges):
+    from graphloom.plans import cypher
+
+    return cypher.run("MATCH (n) WHERE (n.complexity >= 7 OR n.framework IN [10, 'react'] OR n.start_line IN [4, 5]) AND n.name <> 10 RETURN n.id AS id", nodes, edges)

@@ -23,7 +23,10 @@ def call_sessions(calls: DataFrame, gap: str = "10 minutes", late: str = "10 min
 
 
 def debounced(events: DataFrame, quiet: str = "2 seconds", late: str = "10 seconds") -> DataFrame:
-    """(root, start, stop, files) of bursts of file events: a root is due once it has been quiet for a while."""
+    """(root, start, stop, files) of bursts of file events: a root is due once it has been quiet for a while.
+
+    ``files`` counts different paths by sketch, with the usual error of some per cent, since a stream keeps no exact set.
+    """
     bursts = events.withWatermark("ts", late).groupBy("root", F.session_window("ts", quiet).alias("w")).agg(F.approx_count_distinct("rel_path").alias("files"))
     return bursts.select("root", F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "files")
 
