@@ -41,8 +41,9 @@ COMMON_SHARE, MIN_COMMON = 0.005, 64
 MAX_COMMON = 2000
 #: Parts of a band's domain for each element of its largest set.
 PARTS = 0.6
-#: Sets of one batch that share a signature from which on its group counts as hot, and members of a block of a group.
-HOT, BLOCK = 64, 2000
+#: Sets of one batch that share a signature from which on it counts as hot; members from which on a group is crowded and
+#: gives way to enumerated signatures; members of a block of a group. Results depend on none of them.
+HOT, CROWD, BLOCK = 64, 1000, 2000
 #: Second-level parts of a first-level part, those that may differ, and first-level parts for each one that is needed.
 SECOND, LOOSE, SPARE = 3, 1, 1.2
 
@@ -69,7 +70,8 @@ def common_words(records: DataFrame, text: str) -> list[str]:
 
 
 def word_sets(records: DataFrame, id_col: str, text: str, k: int, common: list[str]) -> DataFrame:
-    """(id, cls, sh): the set of hashes of all runs of k words, sorted, and its own hash; the lowest two bits hold min(3, words not common).
+    """(id, cls, other, sh): the set of hashes of all runs of k words, sorted, and two hashes of its own; the lowest two bits
+    of an element hold min(3, words not common).
 
     Texts that are null or have fewer than k words have no runs and give no row.
     """
@@ -80,7 +82,7 @@ def word_sets(records: DataFrame, id_col: str, text: str, k: int, common: list[s
     rare = " + ".join(f"c[i + {j}]" for j in range(k))
     run = f"shiftleft(xxhash64({', '.join(at)}), 2) + least(3, {rare})"
     sets = flags.select("id", F.expr(f"sort_array(array_distinct(transform(sequence(0, size(w) - {k}), i -> {run})))").alias("sh"))
-    return sets.select("id", F.xxhash64("sh").alias("cls"), "sh")
+    return sets.select("id", F.xxhash64("sh").alias("cls"), F.xxhash64(F.lit("second"), "sh").alias("other"), "sh")
 
 
 def bands(threshold: float) -> list[tuple[int, int, int]]:
@@ -102,16 +104,17 @@ def distinct_classes(sets: DataFrame, tables: SharedTables) -> DataFrame:
     """The sets with names that no two different sets share.
 
     Different sets of one hash are told apart by comparing the sets themselves: they are ranked within the hash, and all
-    but the first get a further hash as their name. As a rule there are none, and the sets stay as they are.
+    but the first get a further hash as their name. As a rule there are none, and the sets stay as they are. What two
+    hashes take for one set is one: that is 128 bits.
     """
-    check = sets.select("cls", F.xxhash64(F.lit("second"), "sh").alias("other")).groupBy("cls").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo <> hi").select("cls")
+    check = sets.groupBy("cls").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo <> hi").select("cls")
     met = tables.put(check)
     if met.isEmpty():
         return sets
     own = sets.join(met.withColumn("met", F.lit(True)), "cls", "left")
     rank = F.dense_rank().over(W.partitionBy("cls").orderBy("sh"))
-    told = own.where("met").withColumn("k", rank).select("id", F.when(F.col("k") == 1, F.col("cls")).otherwise(F.xxhash64("cls", "k", "sh")).alias("cls"), "sh")
-    return distinct_classes(tables.put(own.where("met is null").select("id", "cls", "sh").unionByName(told)), tables)
+    told = own.where("met").withColumn("k", rank).select("id", F.when(F.col("k") == 1, F.col("cls")).otherwise(F.xxhash64("cls", "k", "sh")).alias("cls"), "other", "sh")
+    return distinct_classes(tables.put(own.where("met is null").select("id", "cls", "other", "sh").unionByName(told)), tables)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -322,10 +325,10 @@ def _meet_in_blocks(shared: DataFrame, threshold: float) -> DataFrame:
 def candidate_pairs(sets: DataFrame, threshold: float, tables: SharedTables) -> DataFrame:
     """Distinct (a, b), a < b, of classes that share a signature and whose sizes and parity bits allow the similarity.
 
-    Groups of HOT and more classes give way to the enumerated signatures of their members.
+    Groups of CROWD and more classes give way to the enumerated signatures of their members.
     """
     shared, sketched = met_signatures(sets, threshold, tables), sketches(sets)
-    crowds = tables.put(shared.groupBy("sig").agg(F.count("*").alias("members")).where(F.col("members") >= HOT).select("sig"))
+    crowds = tables.put(shared.groupBy("sig").agg(F.count("*").alias("members")).where(F.col("members") >= CROWD).select("sig"))
     if crowds.isEmpty():
         return _meet(shared.join(sketched, "cls"), threshold).distinct()
     cool = _meet(shared.join(crowds, "sig", "left_anti").join(sketched, "cls"), threshold)

@@ -62,6 +62,7 @@ def test_bands():
 def test_hot_groups_by_enumerated_subsets(frame, monkeypatch, k, g):
     monkeypatch.setattr(N, "MIN_COMMON", 5)
     monkeypatch.setattr(N, "HOT", 3)
+    monkeypatch.setattr(N, "CROWD", 3)
     monkeypatch.setattr(N, "BLOCK", 4)
     rng = random.Random(k)
     base = [f"b{i}" for i in range(70)]
@@ -96,6 +97,6 @@ def test_enumerated_signatures_miss_no_pair():
 def test_classes_of_one_hash_are_told_apart(frame, spark):
     from graphloom.plans.lineage import SharedTables
 
-    sets = frame([(1, 7, [1, 2]), (2, 7, [1, 2]), (3, 7, [1, 3]), (4, 8, [4])], "id bigint, cls bigint, sh array<bigint>")
+    sets = frame([(1, 7, 1, [1, 2]), (2, 7, 1, [1, 2]), (3, 7, 2, [1, 3]), (4, 8, 1, [4])], "id bigint, cls bigint, other bigint, sh array<bigint>")
     got = {r["id"]: r["cls"] for r in N.distinct_classes(sets, SharedTables(spark, "test")).collect()}
     assert got[1] == got[2] == 7 and got[3] not in (7, 8) and got[4] == 8
