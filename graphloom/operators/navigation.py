@@ -177,3 +177,28 @@ def neighbours(nodes: DataFrame, edges: DataFrame, types: tuple[str, ...], limit
 def estimated_tokens(text: Column) -> Column:
     """Tokens of a text, taken to be a quarter of its bytes."""
     return F.floor(F.octet_length(text) / 4).cast("bigint")
+
+
+def details(nodes: DataFrame, edges: DataFrame, origins: DataFrame, kinds: dict[str, tuple[tuple[str, ...], bool]], limit: int) -> DataFrame:
+    """(origin, kind, qualified_name): up to ``limit`` neighbours of each kind (edge types, inbound) of the origins, by name."""
+    parts = []
+    for kind, (types, inbound) in kinds.items():
+        at, other = ("target_id", "source_id") if inbound else ("source_id", "target_id")
+        parts.append(edges.where(F.col("type").isin(*types)).select(F.col(at).alias("origin"), F.col(other).alias("other"), F.lit(kind).alias("kind")))
+    found = reduce(DataFrame.unionByName, parts).join(origins.select(F.col("id").alias("origin")), "origin", "left_semi").distinct()
+    named = found.join(nodes.select(F.col("id").alias("other"), "qualified_name"), "other")
+    return named.withColumn("rn", F.row_number().over(W.partitionBy("origin", "kind").orderBy("qualified_name", "other"))).where(F.col("rn") <= limit).select("origin", "kind", "qualified_name")
+
+
+def file_messages(nodes: DataFrame, edges: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(file_path, message): what is odd about the index of the files on record or in the graph."""
+    live = hashes.groupBy(F.col("rel_path").alias("file_path")).agg(F.max(~F.coalesce("is_deleted", F.lit(False))).alias("live"))
+    own = nodes.where("file_path <> ''")
+    count = own.groupBy("file_path").agg(F.count_if(~F.col("label").isin(*NO_SYMBOLS)).alias("symbols"), F.count_if((F.col("start_line") > F.col("end_line"))).alias("bad"))
+    ends = edges.select(F.explode(F.array(F.struct(F.col("source_id").alias("id"), F.lit(1).alias("o")), F.struct(F.col("target_id").alias("id"), F.lit(0).alias("o")))).alias("e")).select("e.*")
+    linked = ends.join(own.select("id", "file_path"), "id").groupBy("file_path").agg(F.count("*").alias("ends"), F.sum("o").alias("out"))
+    each = live.join(count, "file_path", "full").join(linked, "file_path", "left").select("file_path", "live", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("symbols", "bad", "ends", "out")])
+    said = F.array_compact(F.array(
+        F.when(F.col("live").isNull(), "no hash on record"), F.when(~F.col("live"), "file is deleted"), F.when(F.col("symbols") == 0, "no symbols"), F.when((F.col("symbols") > 0) & (F.col("ends") == 0), "symbols without edges"), F.when((F.col("ends") > 0) & (F.col("out") == 0), "only incoming edges"), F.when(F.col("bad") > 0, "lines out of order"),
+    ))
+    return each.select("file_path", F.explode(said).alias("message"))

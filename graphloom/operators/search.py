@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.functions import fixed
 from graphloom.functions.columns import path_penalty
 
 TOKENS = r"[^\p{L}\p{N}]+"
@@ -84,3 +85,29 @@ def with_metadata(nodes: DataFrame, label: str | None = None, test: bool | None
         if value is not None:
             kept = kept.where(F.coalesce(held(key), F.lit("false")) == str(value).lower())
     return kept if least_complexity is None else kept.where(F.expr("try_cast(get_json_object(properties, '$.complexity') as int)") >= least_complexity)
+
+
+def link_suggestions(projects: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, score, reasons) of pairs of projects that seem related.
+
+    Pairs come from what two projects have in common - a stem of the name, a word of it, a type's name - and from names of
+    which one holds the other, looked up by the shorter one's first three letters; projects without any of these don't
+    meet. Points: 25 for names, 10 for each shared type up to 30, 8 for each shared word up to 15.
+    """
+    words = F.filter(F.split(F.lower("name"), "[-_.]"), lambda x: (F.length(x) > 2) & ~x.isin(*fixed.GENERIC_NAME_WORDS))
+    stem = F.regexp_replace(F.lower("name"), "|".join(fixed.PROJECT_SUFFIXES), "")
+    p = projects.select("name", words.alias("words"), stem.alias("stem"))
+    low, size = F.lower("name"), F.length("name")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(size - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))
+    keyed = lambda kind, key: p.select("name", F.lit(kind).alias("kind"), key.alias("key"))
+    keys = keyed("word", F.explode("words")).unionByName(keyed("stem", F.col("stem"))).unionByName(keyed("gram", F.explode(F.array_distinct(grams))))
+    shared = nodes.where(F.col("label").isin("Class", "Interface")).select(F.col("project").alias("x"), F.col("name").alias("type")).distinct()
+    types = shared.join(shared.withColumnRenamed("x", "y"), "type").where("x < y").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count("*").alias("n"))
+    met = keys.select(F.col("name").alias("a"), "kind", "key").join(keys.select(F.col("name").alias("b"), "kind", "key"), ["kind", "key"]).where("a < b").select("a", "b").unionByName(types.select("a", "b")).distinct()
+    side = lambda n: p.select(F.col("name").alias(n), F.col("words").alias(f"w_{n}"), F.col("stem").alias(f"s_{n}"))
+    both = met.join(side("a"), "a").join(side("b"), "b").join(types, ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    related = F.contains(F.lower("a"), F.lower("b")) | F.contains(F.lower("b"), F.lower("a")) | (F.col("s_a") == F.col("s_b"))
+    common = F.size(F.filter("w_a", lambda x: F.array_contains("w_b", x)))
+    points = F.when(related, 25).otherwise(0) + F.least(F.lit(30), 10 * F.col("n")) + F.least(F.lit(15), 8 * common)
+    reasons = F.array_join(F.array_compact(F.array(F.when(related, "related names"), F.when(F.col("n") > 0, F.concat(F.col("n").cast("string"), F.lit(" shared types"))), F.when(common > 0, "common words"))), ", ")
+    return both.select("a", "b", F.round(points / 100, 2).alias("score"), reasons.alias("reasons")).where("score > 0")

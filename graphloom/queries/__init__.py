@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.queries import code, graph, problems, services, texts
+from graphloom.queries import code, graph, problems, services, storing, texts
 
-MODULES = (problems, graph, texts, services, code)
+MODULES = (problems, graph, texts, services, code, storing)
 
 
 def queries() -> dict:

@@ -11,7 +11,7 @@ from graphloom.operators import flows as L
 from graphloom.operators import graph as G
 from graphloom.operators import navigation as V
 from graphloom.operators import similarity as M
-from graphloom.queries.samples import Registry
+from graphloom.queries.samples import SAMPLES, Registry
 
 R = Registry()
 QUERIES, ORACLES = R.QUERIES, R.ORACLES
@@ -535,3 +535,67 @@ def fp1_typed_comparisons(nodes, edges):
     from graphloom.plans import cypher
 
     return cypher.run("MATCH (n) WHERE (n.complexity >= 7 OR n.framework IN [10, 'react'] OR n.start_line IN [4, 5]) AND n.name <> 10 RETURN n.id AS id", nodes, edges)
+
+
+_NAMES = f"p AS (SELECT name, list_filter(string_split_regex(lower(name), '[-_.]'), lambda x: len(x) > 2 AND x NOT IN {_in(fixed.GENERIC_NAME_WORDS)}) AS k, regexp_replace(lower(name), '{'|'.join(fixed.PROJECT_SUFFIXES)}', '', 'g') AS stem FROM projects)"
+
+
+@R.whole("projects", "nodes", sql=f"""
+WITH {_NAMES}, t AS (SELECT DISTINCT project, name FROM nodes WHERE label IN ('Class', 'Interface')), s AS (SELECT a.project AS pa, b.project AS pb, count(*) AS n FROM t a JOIN t b ON a.name = b.name AND a.project < b.project GROUP BY ALL),
+x AS (SELECT x.name AS a, y.name AS b, contains(lower(x.name), lower(y.name)) OR contains(lower(y.name), lower(x.name)) OR x.stem = y.stem AS rel, coalesce(s.n, 0) AS n, len(list_filter(x.k, lambda w: list_contains(y.k, w))) AS c FROM p x JOIN p y ON x.name < y.name LEFT JOIN s ON s.pa = x.name AND s.pb = y.name),
+y AS (SELECT *, CASE WHEN rel THEN 25 ELSE 0 END + least(30, 10 * n) + least(15, 8 * c) AS points FROM x)
+SELECT a, b, round(points / 100.0, 2)::DOUBLE AS score, array_to_string(list_filter([CASE WHEN rel THEN 'related names' END, CASE WHEN n > 0 THEN n || ' shared types' END, CASE WHEN c > 0 THEN 'common words' END], lambda v: v IS NOT NULL), ', ') AS reasons FROM y WHERE points > 0""")
+def sv5_link_reasons(projects, nodes):
+    from graphloom.operators.search import link_suggestions
+
+    return link_suggestions(projects, nodes)
+
+
+def _details_sql(kinds, limit: int) -> str:
+    each = " UNION ".join(f"SELECT {'target_id' if back else 'source_id'} AS origin, '{kind}' AS kind, {'source_id' if back else 'target_id'} AS other FROM edges WHERE type IN ({', '.join(repr(t) for t in types)})" for kind, (types, back) in kinds.items())
+    return f"WITH e AS ({each}), r AS (SELECT e.origin, e.kind, n.qualified_name, row_number() OVER (PARTITION BY e.origin, e.kind ORDER BY n.qualified_name, n.id) AS rn FROM e JOIN nodes n ON n.id = e.other JOIN nodes o ON o.id = e.origin WHERE o.label IN ('Class', 'Interface', 'Function')) SELECT origin, kind, qualified_name FROM r WHERE rn <= {limit}"
+
+
+from graphloom.api import DETAIL_KINDS, DETAILS, Engine  # noqa: E402
+
+
+@R.whole("nodes", "edges", sql=_details_sql(DETAIL_KINDS, DETAILS))
+def g8_eight_lists(nodes, edges):
+    return V.details(nodes, edges, nodes.where("label in ('Class', 'Interface', 'Function')"), DETAIL_KINDS, DETAILS)
+
+
+@R.whole("nodes", "edges", sql=_details_sql({"caller": (("CALLS", "HTTP_CALLS", "ASYNC_CALLS", "USES"), True), "callee": (("CALLS", "HTTP_CALLS", "ASYNC_CALLS", "USES"), False)}, 5))
+def g10_first_neighbours(nodes, edges):
+    used = ("CALLS", "HTTP_CALLS", "ASYNC_CALLS", "USES")
+    return V.details(nodes, edges, nodes.where("label in ('Class', 'Interface', 'Function')"), {"caller": (used, True), "callee": (used, False)}, 5)
+
+
+@R.whole("nodes", "edges", "file_hashes", sql=f"""
+WITH h AS (SELECT rel_path AS file_path, bool_or(NOT coalesce(is_deleted, false)) AS live FROM file_hashes GROUP BY 1), o AS (SELECT * FROM nodes WHERE file_path <> ''), c AS (SELECT file_path, count(*) FILTER (WHERE label NOT IN {_in(V.NO_SYMBOLS)}) AS symbols, count(*) FILTER (WHERE start_line > end_line) AS bad FROM o GROUP BY 1),
+x AS (SELECT source_id AS id, 1 AS o FROM edges UNION ALL SELECT target_id, 0 FROM edges), l AS (SELECT o.file_path, count(*) AS ends, sum(x.o) AS outs FROM x JOIN o ON o.id = x.id GROUP BY 1),
+f AS (SELECT coalesce(h.file_path, c.file_path) AS file_path, h.live, coalesce(symbols, 0) AS symbols, coalesce(bad, 0) AS bad, coalesce(ends, 0) AS ends, coalesce(outs, 0) AS outs FROM h FULL JOIN c ON c.file_path = h.file_path LEFT JOIN l ON l.file_path = coalesce(h.file_path, c.file_path))
+SELECT file_path, unnest(list_filter([CASE WHEN live IS NULL THEN 'no hash on record' END, CASE WHEN NOT live THEN 'file is deleted' END, CASE WHEN symbols = 0 THEN 'no symbols' END, CASE WHEN symbols > 0 AND ends = 0 THEN 'symbols without edges' END, CASE WHEN ends > 0 AND outs = 0 THEN 'only incoming edges' END, CASE WHEN bad > 0 THEN 'lines out of order' END], lambda v: v IS NOT NULL)) AS message FROM f""")
+def sv10_file_messages(nodes, edges, hashes):
+    return V.file_messages(nodes, edges, hashes)
+
+
+_TOOLS = {
+    "list_projects": (4, lambda e: e.list_projects()), "get_graph_schema": (23, lambda e: e.get_graph_schema("web")), "search_graph": (5, lambda e: e.search_graph("web", "users")), "query_graph": (3, lambda e: e.query_graph("MATCH (n:Route) WHERE n.name STARTS WITH 'GET' RETURN n.name")), "index_status": (1, lambda e: e.index_status("web")),
+    "trace_call_path": (4, lambda e: e.trace_call_path("web", "getUsers")), "get_architecture": (7, lambda e: e.get_architecture("web")), "get_code_snippet": (1, lambda e: e.get_code_snippet("web", "web.main")), "search_code": (2, lambda e: e.search_code("web", "run")), "ingest_traces": (1, lambda e: e.ingest_traces("web", '[{"source": "main", "target": "getUsers"}]')),
+    "manage_adr": (2, lambda e: e.manage_adr("web")), "list_project_links": (1, lambda e: e.list_project_links("web")), "search_linked_projects": (2, lambda e: e.search_linked_projects("web", "user")), "find_symbol": (1, lambda e: e.find_symbol("web", "findAllUsers")), "get_symbol_details": (5, lambda e: e.get_symbol_details("web", "web.UserController.getUsers")),
+    "find_references": (3, lambda e: e.find_references("web", "web.UserController.getUsers")), "impact_analysis": (5, lambda e: e.impact_analysis("web", "web.UserController.getUsers")), "explain_index_result": (1, lambda e: e.explain_index_result("web", "src/lib/validate.ts")), "get_file_overview": (1, lambda e: e.get_file_overview("web", "src/main.ts")),
+    "find_entrypoints": (7, lambda e: e.find_entrypoints("web")), "suggest_next_reads": (3, lambda e: e.suggest_next_reads("web", "web.UserController.getUsers")), "trace_data_flow": (6, lambda e: e.trace_data_flow("web", "web.UserController.getUsers")), "find_tests_for_target": (0, lambda e: e.find_tests_for_target("web", "src/main.ts")),
+    "suggest_project_links": (0, lambda e: e.suggest_project_links()), "find_routes": (3, lambda e: e.find_routes("web")), "trace_backend_flow": (4, lambda e: e.trace_backend_flow("web", "users")), "find_pipelines": (1, lambda e: e.find_pipelines("web")), "find_infrastructure": (2, lambda e: e.find_infrastructure("web")),
+}
+
+
+@R.expected("tool string, n bigint", [(k, n) for k, (n, _) in _TOOLS.items()], **{t: SAMPLES[t] for t in ("nodes", "edges", "file_hashes", "projects", "project_links")}, decisions=("id bigint, project string, title string, content string, created_at string", [(1, "web", "b", "", "2"), (2, "web", "a", "", "1"), (3, "api", "c", "", "1")]), code_content=("project string, qualified_name string, content string", [("web", "web.main", "run()\nrun2()\n"), ("api", "api.x", "run")]))
+def api_tools(*tables):
+    """Every read-only tool over the samples, with the number of its rows."""
+    names = ("nodes", "edges", "file_hashes", "projects", "project_links", "decisions", "code_content")
+    engine = Engine(tables[0].sparkSession, dict(zip(names, tables)).__getitem__)
+    counted = [tool(engine).agg(F.count("*").alias("n")).select(F.lit(name).alias("tool"), "n") for name, (_, tool) in _TOOLS.items()]
+    out = counted[0]
+    for more in counted[1:]:
+        out = out.unionByName(more)
+    return out

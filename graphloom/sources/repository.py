@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import os
 import re
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import fixed
 from graphloom.functions.columns import language
+from graphloom.plans.lineage import SharedTables
 
 # CI files that are read even where they are ignored.
 CI_FILES = (".gitlab-ci.yml", "Jenkinsfile", "azure-pipelines.yml", "bitbucket-pipelines.yml", ".circleci/config.yml")
@@ -52,24 +55,53 @@ def ignored(path: str, rules: list[tuple[str, re.Pattern, bool]]) -> bool:
     return out
 
 
+def listed_tree(spark: SparkSession, base: str) -> DataFrame:
+    """(rel_path, rules): the files below a mounted folder, with the text of those that hold ignore rules.
+
+    A folder is listed by one task and its sub-folders in the next round, so there are as many rounds as the tree is deep.
+    """
+    tables = SharedTables(spark, "tree")
+    entered = frozenset(fixed.EXCLUDED_FOLDERS)
+
+    def entries(batches):
+        for pdf in batches:
+            rows = []
+            for folder in pdf["folder"]:
+                with os.scandir(os.path.join(base, folder)) as found:
+                    for e in found:
+                        path, rules = folder + e.name, None
+                        if e.is_dir(follow_symlinks=False):
+                            if e.name not in entered:
+                                rows.append((path + "/", True, None))
+                            continue
+                        if e.name == ".gitignore":
+                            with open(e.path, encoding="utf-8", errors="replace") as f:
+                                rules = f.read()
+                        rows.append((path, False, rules))
+            yield pd.DataFrame(rows, columns=["rel_path", "is_folder", "rules"])
+
+    folders, levels = spark.createDataFrame([("",)], "folder string"), []
+    while not folders.isEmpty():
+        level = tables.put(folders.mapInPandas(entries, "rel_path string, is_folder boolean, rules string"))
+        levels.append(level.where("not is_folder").select("rel_path", "rules"))
+        folders = level.where("is_folder").select(F.col("rel_path").alias("folder")).repartition(spark.sparkContext.defaultParallelism)
+    return reduce(DataFrame.unionByName, levels)
+
+
 def repository_files(spark: SparkSession, root: str, content: bool = True, known_only: bool = True) -> DataFrame:
     """(rel_path, language, size, sha256, content) of a source tree.
 
-    The tree must be on a file system that all executors mount. The driver lists names and reads the ignore rules;
-    contents are read by the executors, and only of files that remain. Folders of version control, caches and
+    The tree must be on a file system that all executors mount. Executors list it level by level and read contents, the
+    latter only of files that remain; the driver holds the ignore rules alone. Folders of version control, caches and
     dependencies aren't entered, ignored files are left out by the tree's own rules (nested ones included), CI files are
     read regardless. Files of unknown language are left out unless ``known_only`` is false.
     """
     base = root.rstrip("/").removeprefix("file:")
     # Spark's own file sources skip names that begin with a dot or underscore, which source trees are full of
-    paths, rules = [], []
-    for folder, below, names in os.walk(base):
-        below[:] = sorted(set(below) - set(fixed.EXCLUDED_FOLDERS))
-        rel = "" if folder == base else os.path.relpath(folder, base) + "/"
-        paths += [(rel + n,) for n in names]
-        if ".gitignore" in names:
-            with open(os.path.join(folder, ".gitignore"), encoding="utf-8", errors="replace") as f:
-                rules += [(rel, *rule) for line in f if (rule := ignore_pattern(line))]
+    listing = listed_tree(spark, base)
+    rules = []
+    for r in listing.where(F.col("rules").isNotNull()).select("rel_path", "rules").collect():  # one row for each ignore file
+        rules += [(r["rel_path"].removesuffix(".gitignore"), *rule) for line in r["rules"].splitlines() if (rule := ignore_pattern(line))]
 
     def read(batches):
         for pdf in batches:
@@ -86,8 +118,7 @@ def repository_files(spark: SparkSession, root: str, content: bool = True, known
             yield pdf[[not ignored(p, shared.value) or p in CI_FILES or p.startswith(".github/workflows/") for p in pdf["rel_path"]]]
 
     ci = F.col("rel_path").isin(*CI_FILES) | F.col("rel_path").startswith(".github/workflows/")
-    listed = spark.createDataFrame(paths, "rel_path string").repartition(max(1, min(len(paths) // 64 + 1, 4 * spark.sparkContext.defaultParallelism)))
-    named = listed.withColumn("language", language(F.col("rel_path")))
+    named = listing.select("rel_path").withColumn("language", language(F.col("rel_path")))
     wanted = named.where((F.col("language") != "unknown") | ci) if known_only else named
     kept = wanted.mapInPandas(keep, "rel_path string, language string") if rules else wanted
     files = kept.mapInPandas(read, "rel_path string, language string, size bigint, content binary")
