@@ -20,6 +20,12 @@ def forward(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"^\./", "")
 
 
+def service_kind(callee: Column) -> Column:
+    """What a call is by the library in the callee's qualified name: HTTP_CALLS, ASYNC_CALLS, CONFIGURES or CALLS."""
+    qn = F.lower(callee)
+    return F.when(any_of(qn, fixed.HTTP_LIBRARIES), "HTTP_CALLS").when(any_of(qn, fixed.BROKER_LIBRARIES), "ASYNC_CALLS").when(any_of(qn, fixed.CONFIG_LIBRARIES), "CONFIGURES").otherwise("CALLS")
+
+
 def strip_extension(path: Column) -> Column:
     """Path without the extension of its last segment."""
     return F.regexp_replace(path, r"\.[^./]*$", "")
@@ -157,14 +163,6 @@ def complexity(source: Column) -> Column:
     return reduce(lambda a, b: a + b, [occurrences(code, w) for w in (*fixed.BRANCH_WORDS, *fixed.BRANCH_OPERATORS)], F.lit(1).cast("bigint"))
 
 
-def http_method(name: Column) -> Column:
-    """HTTP method by the first verb that a function's name contains."""
-    n, out = F.lower(name), F.lit("UNKNOWN")
-    for verb in ("options", "head", "patch", "delete", "put", "post", "get"):
-        out = F.when(F.contains(n, F.lit(verb)), verb.upper()).otherwise(out)
-    return out
-
-
 def route_template(path: Column) -> Column:
     """Route path with ``:id`` and ``{id}`` written as ``{param}``, in lower case and without a slash at the end."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(path), r":[a-z0-9_]+", "{param}"), r"\{[^}]*\}", "{param}"), r"(.)/$", "$1")

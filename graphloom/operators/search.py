@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -111,3 +114,110 @@ def link_suggestions(projects: DataFrame, nodes: DataFrame) -> DataFrame:
     points = F.when(related, 25).otherwise(0) + F.least(F.lit(30), 10 * F.col("n")) + F.least(F.lit(15), 8 * common)
     reasons = F.array_join(F.array_compact(F.array(F.when(related, "related names"), F.when(F.col("n") > 0, F.concat(F.col("n").cast("string"), F.lit(" shared types"))), F.when(common > 0, "common words"))), ", ")
     return both.select("a", "b", F.round(points / 100, 2).alias("score"), reasons.alias("reasons")).where("score > 0")
+
+
+def _accents() -> tuple[str, str]:
+    """Letters of the Latin blocks that stand for a plain letter with a mark, and those letters."""
+    found = [(chr(c), unicodedata.normalize("NFD", chr(c))) for lo, hi in ((0xC0, 0x250), (0x1E00, 0x1F00)) for c in range(lo, hi)]
+    kept = [(c, d[0]) for c, d in found if len(d) > 1 and d[0].isascii() and all(unicodedata.combining(m) for m in d[1:])]
+    return "".join(c for c, _ in kept), "".join(d for _, d in kept)
+
+
+ACCENTED, PLAIN = _accents()
+
+
+def tokens(text: Column) -> Column:
+    """Runs of letters and digits in lower case, with the marks of Latin letters taken off."""
+    return F.filter(F.split(F.translate(F.lower(text), ACCENTED, PLAIN), TOKENS), lambda x: x != "")
+
+
+def stem(word: str) -> str:
+    """The stem of an English word, by Porter's algorithm of 1980."""
+    if len(word) < 3 or not word.isascii() or not word.isalpha():
+        return word
+
+    def form(w: str) -> str:
+        return "".join("v" if c in "aeiou" or (c == "y" and i and w[i - 1] not in "aeiou") else "c" for i, c in enumerate(w))
+
+    measure = lambda w: len(re.findall("v+c+", form(w)))
+    has_vowel = lambda w: "v" in form(w)
+    double = lambda w: len(w) > 1 and w[-1] == w[-2] and form(w)[-1] == "c"
+    closed = lambda w: form(w)[-3:] == "cvc" and w[-1] not in "wxy"
+
+    def replaced(w: str, rules: tuple, least: int) -> str:
+        for end, new in rules:
+            if w.endswith(end):
+                base = w[: len(w) - len(end)]
+                return base + new if measure(base) > least and (end != "ion" or base[-1:] in ("s", "t")) else w
+        return w
+
+    w = replaced(word, (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")), -1)
+    if w.endswith("eed"):
+        w = w[:-1] if measure(w[:-3]) > 0 else w
+    else:
+        for end in ("ed", "ing"):
+            if w.endswith(end):
+                if has_vowel(w[: -len(end)]):
+                    w = w[: -len(end)]
+                    if w.endswith(("at", "bl", "iz")):
+                        w += "e"
+                    elif double(w) and w[-1] not in "lsz":
+                        w = w[:-1]
+                    elif measure(w) == 1 and closed(w):
+                        w += "e"
+                break
+    if w.endswith("y") and has_vowel(w[:-1]):
+        w = w[:-1] + "i"
+    # The algorithm's endings, longest first where one ends in another.
+    w = replaced(w, (("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")), 0)
+    w = replaced(w, (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")), 0)
+    w = replaced(w, tuple((e, "") for e in ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")), 1)
+    if w.endswith("e") and (measure(w[:-1]) > 1 or (measure(w[:-1]) == 1 and not closed(w[:-1]))):
+        w = w[:-1]
+    return w[:-1] if measure(w) > 1 and double(w) and w[-1] == "l" else w
+
+
+def stemmed(rows: DataFrame, column: str) -> DataFrame:
+    """The rows with the words of an array column replaced by their stems, batch by batch."""
+
+    def run(batches):
+        known = functools.lru_cache(maxsize=100_000)(stem)
+        for pdf in batches:
+            pdf[column] = [None if words is None else [known(w) for w in words] for words in pdf[column]]
+            yield pdf
+
+    return rows.mapInPandas(run, rows.schema)
+
+
+def weighted_bm25(docs: DataFrame, doc_id: str, fields: dict[str, float], query: str, limit: int | None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(doc, score) of the documents for any keyword of the query; a field's occurrences count by its weight.
+
+    Lengths are those of all fields together. Keywords are words without stop words; ties go to the lesser id.
+    """
+    wanted = sorted({w for w in (re.sub(r"[^\w]", "", x.lower()) for x in query.split()) if len(w) > 1 and w not in fixed.STOP_WORDS})
+    t = docs.select(F.col(doc_id).alias("doc"), *[tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"t{i}") for i, f in enumerate(fields)])
+    count = lambda i, w: F.size(F.filter(f"t{i}", lambda x: x == w))
+    total = reduce(lambda x, y: x + y, [F.size(f"t{i}") for i in range(len(fields))])
+    tf = [reduce(lambda x, y: x + y, [count(i, w) * weight for i, weight in enumerate(fields.values())]).alias(f"tf{j}") for j, w in enumerate(wanted)]
+    counted = t.select("doc", total.alias("dl"), *tf)
+    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{j}") > 0).alias(f"df{j}") for j in range(len(wanted))])
+    hit = counted.where(reduce(lambda x, y: x | y, [F.col(f"tf{j}") > 0 for j in range(len(wanted))], F.lit(False))).join(F.broadcast(stats))  # one row of statistics
+    idf = lambda j: F.log(1 + (F.col("n") - F.col(f"df{j}") + 0.5) / (F.col(f"df{j}") + 0.5))
+    part = lambda j: idf(j) * F.col(f"tf{j}") * (k1 + 1) / (F.col(f"tf{j}") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    scored = hit.select("doc", reduce(lambda x, y: x + y, [part(j) for j in range(len(wanted))], F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "doc")
+    return scored if limit is None else scored.limit(limit)
+
+
+def broad_search(nodes: DataFrame, contents: DataFrame, query: str, limit: int) -> DataFrame:
+    """(id, layer, score): nodes by name (layer 0, score 100), by the text kept for them (1, BM25), by properties (2, 0).
+
+    ``contents(project, qualified_name, content)`` is joined to nodes by project and qualified name; a node found in several
+    layers keeps its first, and earlier layers fill the limit first.
+    """
+    named = nodes.where(matches(query)).select("id", F.lit(0).alias("layer"), F.lit(100.0).alias("score"))
+    texts = contents.join(nodes.select("id", "project", "qualified_name"), ["project", "qualified_name"])
+    told = weighted_bm25(texts, "id", {"qualified_name": 1.0, "content": 5.0}, query, None).select(F.col("doc").alias("id"), F.lit(1).alias("layer"), "score")
+    rest = nodes.where(F.contains(F.lower("properties"), F.lit(query.lower()))).select("id", F.lit(2).alias("layer"), F.lit(0.0).alias("score"))
+    every = named.unionByName(told).unionByName(rest)
+    first = every.withColumn("rn", F.row_number().over(W.partitionBy("id").orderBy("layer"))).where("rn = 1").drop("rn")
+    return first.orderBy("layer", F.desc("score"), "id").limit(limit)

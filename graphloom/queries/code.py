@@ -8,9 +8,11 @@ from graphloom.functions import columns as C
 from graphloom.functions import fixed
 from graphloom.operators import graph as G
 from graphloom.operators import resolve as P
+from graphloom.operators import search
 from graphloom.queries.samples import Registry
 from graphloom.sources import configs, derive, extract
 from graphloom.sources import frameworks as K
+from graphloom.sources import history
 from graphloom.tables import table
 
 R = Registry()
@@ -543,3 +545,80 @@ def sc21_traces(nodes):
     traces = '[{"source": "getUsers", "target": "findAllUsers"}, {"source": "main", "target": "getUsers"}, {"source": "main", "target": "missing"}, {"source": "main", "target": "getUsers"}, {"oops": 1}]'
     given = nodes.sparkSession.createDataFrame([("web", traces)], "project string, traces string")
     return derive.trace_edges(given, nodes)
+
+
+_TYPED = ("symbol_id bigint, project string, name string, label string, parameters array<string>, return_type string", [(1, "p", "find", "Method", ["List<User>", "int"], "Optional<Order>"), (2, "p", "User", "Class", None, None), (3, "p", "Order", "Interface", None, None), (4, "q", "User", "Class", None, None), (5, "p", "make", "Function", [], "User")])
+
+
+@R.expected("source_id bigint, target_id bigint", [(1, 2), (1, 3), (5, 2)], symbols=_TYPED)
+def ep7_type_reference_cases(symbols):
+    """TYPE_REF: the types of the project that parameters and return types name."""
+    used = symbols.select("symbol_id", "project", F.explode(F.flatten(F.transform(F.concat(F.coalesce("parameters", F.array().cast("array<string>")), F.array(F.coalesce("return_type", F.lit("")))), lambda t: F.regexp_extract_all(t, F.lit(r"\w+"), F.lit(0))))).alias("name")).distinct()
+    t = symbols.where(F.col("label").isin("Class", "Interface", "Enum")).select("project", "name", F.col("symbol_id").alias("target_id"))
+    return used.join(t, ["project", "name"]).select(F.col("symbol_id").alias("source_id"), "target_id").distinct()
+
+
+_CALLEES = [("requests.get", "HTTP_CALLS"), ("lib.Axios.post", "HTTP_CALLS"), ("bus.kafka.Producer.send", "ASYNC_CALLS"), ("app.celery.task", "ASYNC_CALLS"), ("dotenv.load", "CONFIGURES"), ("app.Config.read", "CONFIGURES"), ("math.sqrt", "CALLS")]
+
+
+@R.expected("callee string, kind string", _CALLEES, calls=("callee string", [(c,) for c, _ in _CALLEES]))
+def ep8_service_pattern_cases(calls):
+    return calls.select("callee", C.service_kind(F.col("callee")).alias("kind"))
+
+
+_LOG = ("log string", [
+    ("c1\x1f100\n\n3\t1\ta.rs\n2\t0\tb.rs\n-\t-\tlogo.png\n",), ("c2\x1f200\n\n1\t1\ta.rs\n1\t0\tb.rs\n",), ("c3\x1f300\n\n5\t5\ta.rs\n1\t1\tb.rs\n1\t1\tc.rs\n",), ("c4\x1f400\n\n0\t9\tc.rs\n",), ("c5\x1f500\n",),
+])
+
+
+@R.expected("path string, commits bigint, churn bigint, last_at bigint, last_commit string", [("a.rs", 3, 16, 300, "c3"), ("b.rs", 3, 5, 300, "c3"), ("c.rs", 2, 11, 400, "c4"), ("logo.png", 1, 0, 100, "c1")], logs=_LOG)
+def ep35_file_statistics(logs):
+    return history.file_statistics(history.changes(logs))
+
+
+@R.expected("a string, b string, together bigint", [("a.rs", "b.rs", 3)], logs=_LOG)
+def ep35_files_changed_together(logs):
+    return history.changed_together(history.changes(logs))
+
+
+@R.expected("id bigint, commits bigint", [(1, 1), (3, 2)], logs=_LOG, symbols=("id bigint, file_path string", [(1, "a.rs"), (2, "logo.png"), (3, "c.rs")]))
+def ep35_recently_modified(logs, symbols):
+    return history.recently_modified(history.changes(logs), symbols, 300)
+
+
+@R.whole("documents", sql=f"SELECT doc_id, array_to_string(list_filter(string_split_regex(strip_accents(lower(text)), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), ' ') AS tokens FROM documents WHERE text IS NOT NULL")
+def ft1_folded_tokens(documents):
+    return documents.where("text is not null").select("doc_id", F.array_join(search.tokens(F.col("text")), " ").alias("tokens"))
+
+
+_STEMS = [("caresses", "caress"), ("ponies", "poni"), ("cats", "cat"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("sing", "sing"), ("hopping", "hop"), ("filing", "file"), ("happy", "happi"), ("relational", "relat"), ("vietnamization", "vietnam"), ("triplicate", "triplic"), ("hopefulness", "hope"), ("adjustment", "adjust"), ("adoption", "adopt"), ("probate", "probat"), ("controll", "control"), ("roll", "roll"), ("sky", "sky")]
+
+
+@R.expected("word string, stem string", _STEMS, words=("word string", [(w,) for w, _ in _STEMS]))
+def ft1_stems(words):
+    return search.stemmed(words.select("word", F.array("word").alias("stems")), "stems").select("word", F.col("stems")[0].alias("stem"))
+
+
+def _bm25_sql(words: list[str], limit: str) -> str:
+    count = lambda f, w: f"len(list_filter({f}, lambda x: x = '{w}'))"
+    tf = ", ".join(f"{count('p', w)} * 1.0::DOUBLE + {count('t', w)} * 5.0::DOUBLE AS tf{i}" for i, w in enumerate(words))
+    part = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / m))" for i in range(len(words)))
+    split = lambda f: f"list_filter(string_split_regex(strip_accents(lower(coalesce({f}, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+    return f"WITH k AS (SELECT doc_id, {split('path')} AS p, {split('text')} AS t FROM documents), c AS (SELECT doc_id, len(p) + len(t) AS dl, {tf} FROM k), s AS (SELECT count(*) AS n, avg(dl) AS m, {', '.join(f'count(*) FILTER (WHERE tf{i} > 0) AS df{i}' for i in range(len(words)))} FROM c) SELECT doc_id, round({part}, 6) AS score FROM c, s WHERE {' OR '.join(f'tf{i} > 0' for i in range(len(words)))} ORDER BY 2 DESC, doc_id {limit}"
+
+
+@R.whole("documents", sql=_bm25_sql(["harbor", "ledger"], ""))
+def ft3_weighted_bm25(documents):
+    """All documents for the keywords of a question, the text counting five times the path."""
+    return search.weighted_bm25(documents, "doc_id", {"path": 1.0, "text": 5.0}, "Is the harbor in a ledger?", None).select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@R.expected("id bigint, layer int", [(1, 0), (3, 1), (2, 1), (4, 2)], nodes=("id bigint, project string, name string, qualified_name string, properties string", [(1, "p", "getUser", "p.getUser", "{}"), (2, "p", "a", "p.a", "{}"), (3, "p", "b", "p.b", "{}"), (4, "p", "c", "p.c", '{"x": "user"}'), (5, "q", "d", "q.d", None)]), contents=("project string, qualified_name string, content string", [("p", "p.a", "user and much else that is said here at length"), ("p", "p.b", "user user"), ("q", "q.d", "none"), ("p", "p.getUser", "user")]))
+def ft4_broad_search(nodes, contents):
+    return search.broad_search(nodes, contents, "user", 10).select("id", "layer")
+
+
+@R.sample("nodes", sql="SELECT c.project, c.qualified_name, n.id FROM contents c JOIN nodes n ON n.project = c.project AND n.qualified_name = c.qualified_name WHERE contains(c.content, 'run')", contents=("project string, qualified_name string, content string", [("web", "web.main", "run it"), ("web", "web.none", "run"), ("api", "web.main", "run"), ("web", "web.Store", None)]))
+def j4_texts_with_nodes(nodes, contents):
+    hit = contents.where(F.contains("content", F.lit("run"))).select("project", "qualified_name")
+    return hit.join(nodes.select("project", "qualified_name", "id"), ["project", "qualified_name"])

@@ -250,17 +250,6 @@ def _impact(nodes, edges):
     return by.withColumn("risk", F.when((F.col("direct") > 10) | (F.col("files") > 10), "high").when(F.col("direct") > 3, "medium").otherwise("low"))
 
 
-@query("""
-WITH RECURSIVE c AS (SELECT DISTINCT source_id, target_id FROM edges WHERE type IN ('CALLS', 'USES', 'INHERITS')),
-r AS (SELECT id, 0 AS depth FROM nodes WHERE label = 'Interface' UNION SELECT c.source_id, r.depth + 1 FROM r JOIN c ON c.target_id = r.id WHERE r.depth < 3),
-m AS (SELECT id, min(depth) AS depth FROM r GROUP BY id)
-SELECT n.project, count(*) FILTER (WHERE depth = 1) AS direct, count(*) FILTER (WHERE depth > 1) AS indirect, count(DISTINCT n.file_path) AS files,
-  CASE WHEN count(*) FILTER (WHERE depth = 1) > 10 OR count(DISTINCT n.file_path) > 10 THEN 'high' WHEN count(*) FILTER (WHERE depth = 1) > 3 THEN 'medium' ELSE 'low' END AS risk
-FROM m JOIN nodes n ON n.id = m.id WHERE depth > 0 GROUP BY n.project""")
-def g2_impact(nodes, edges):
-    return _impact(nodes, edges.where(F.col("type").isin("CALLS", "USES", "INHERITS")))
-
-
 @query("""
 WITH RECURSIVE c AS (SELECT DISTINCT source_id, target_id FROM edges),
 r AS (SELECT id, 0 AS depth FROM nodes WHERE label = 'Interface' UNION SELECT c.source_id, r.depth + 1 FROM r JOIN c ON c.target_id = r.id WHERE r.depth < 3),
@@ -268,20 +257,11 @@ m AS (SELECT id, min(depth) AS depth FROM r GROUP BY id)
 SELECT n.project, count(*) FILTER (WHERE depth = 1) AS direct, count(*) FILTER (WHERE depth > 1) AS indirect, count(DISTINCT n.file_path) AS files,
   CASE WHEN count(*) FILTER (WHERE depth = 1) > 10 OR count(DISTINCT n.file_path) > 10 THEN 'high' WHEN count(*) FILTER (WHERE depth = 1) > 3 THEN 'medium' ELSE 'low' END AS risk
 FROM m JOIN nodes n ON n.id = m.id WHERE depth > 0 GROUP BY n.project""")
-def g2_full_impact(nodes, edges):
-    """Impact over all edge types."""
+def g2_impact(nodes, edges):
+    """Impact of all interfaces over all edge types."""
     return _impact(nodes, edges)
 
 
-@query("""
-WITH RECURSIVE c AS (SELECT DISTINCT source_id, target_id FROM edges WHERE type IN ('INHERITS', 'TESTS')),
-r AS (SELECT [id] AS path FROM nodes WHERE label = 'Class' UNION ALL SELECT list_append(r.path, c.target_id) FROM r JOIN c ON c.source_id = r.path[-1] WHERE len(r.path) < 4 AND NOT list_contains(r.path, c.target_id))
-SELECT array_to_string(path, '>') AS path, len(path) - 1 AS steps FROM r WHERE len(path) > 1""")
-def g3_flow_paths(nodes, edges):
-    p = G.paths(edges.where(F.col("type").isin("INHERITS", "TESTS")), nodes.where("label = 'Class'"), 3)
-    return p.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), (F.size("path") - 1).alias("steps"))
-
-
 #: Edge types of each flow; "any" follows all.
 FLOWS = {"request": ("CALLS", "ASYNC_CALLS", "HTTP_CALLS", "HANDLES_ROUTE"), "render": ("RENDERS", "CALLS"), "data": ("CALLS", "ASYNC_CALLS", "IMPORTS", "USES")}
 #: Steps of a flow path.
@@ -294,7 +274,10 @@ def flow_paths(nodes, edges, flow: str = "any"):
     return p.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), (F.size("path") - 1).alias("steps"))
 
 
-@query()
+@query("""
+WITH RECURSIVE c AS (SELECT DISTINCT source_id, target_id FROM edges WHERE type IN ('CALLS', 'ASYNC_CALLS', 'IMPORTS', 'USES')),
+r AS (SELECT [id] AS path FROM nodes UNION ALL SELECT list_append(r.path, c.target_id) FROM r JOIN c ON c.source_id = r.path[-1] WHERE len(r.path) <= 5 AND NOT list_contains(r.path, c.target_id))
+SELECT array_to_string(path, '>') AS path, (len(path) - 1)::INT AS steps FROM r WHERE len(path) > 1""")
 def g3_data_flow_paths(nodes, edges):
     return flow_paths(nodes, edges, "data")
 
@@ -347,12 +330,8 @@ SELECT e.source_id, e.target_id, CASE WHEN regexp_matches(lower(t.qualified_name
   WHEN regexp_matches(lower(t.qualified_name), 'kafka|amqp|rabbitmq|redis|celery|bull|nats|pulsar|lapin|rdkafka') THEN 'ASYNC_CALLS' WHEN regexp_matches(lower(t.qualified_name), 'dotenv|config|viper|configparser|pydantic_settings|figment|envy') THEN 'CONFIGURES' ELSE 'CALLS' END AS kind
 FROM (SELECT DISTINCT source_id, target_id FROM edges WHERE type = 'CALLS') e JOIN nodes t ON t.id = e.target_id""")
 def ep8_service_patterns(nodes, edges):
-    from graphloom.functions import fixed
-
     calls = edges.where("type = 'CALLS'").select("source_id", "target_id").distinct()
-    qn = F.lower("qualified_name")
-    kind = F.when(C.any_of(qn, fixed.HTTP_LIBRARIES), "HTTP_CALLS").when(C.any_of(qn, fixed.BROKER_LIBRARIES), "ASYNC_CALLS").when(C.any_of(qn, fixed.CONFIG_LIBRARIES), "CONFIGURES").otherwise("CALLS")
-    return calls.join(nodes.select(F.col("id").alias("target_id"), "qualified_name"), "target_id").select("source_id", "target_id", kind.alias("kind"))
+    return calls.join(nodes.select(F.col("id").alias("target_id"), "qualified_name"), "target_id").select("source_id", "target_id", C.service_kind(F.col("qualified_name")).alias("kind"))
 
 
 @query("""

@@ -10,6 +10,7 @@ from graphloom.functions import fixed
 from graphloom.operators import graph as G
 from graphloom.operators import search as S
 from graphloom.operators.incremental import changed_records
+from graphloom.sources import extract
 from graphloom.tables import table
 
 QUERIES: dict = {}
@@ -112,13 +113,22 @@ def ex18_complexity(symbols):
     return symbols.where("body_text is not null").select("symbol_id", C.complexity(F.col("body_text")).alias("complexity")).distinct()
 
 
-# Declarations by language family; group 1 is the name.
-_DECLARATIONS = (("Function", r"(?:function|def|fn|func)\s+(\w+)"), ("Class", r"(?:class|struct|interface|trait|enum)\s+(\w+)"))
+def _declarations() -> list[tuple[str, str]]:
+    """A pattern for each label: the keywords by which any language declares it, and a name (group 1)."""
+    words: dict[str, set[str]] = {"Function": {k for g in extract.GRAMMARS.values() for k in g.functions}}
+    for table_ in [*(g.containers for g in extract.GRAMMARS.values()), *extract.INDENTED.values()]:
+        for keyword, label in table_.items():
+            words.setdefault(label, set()).add(keyword)
+    return [(label, r"(?:^|\s)(?:" + "|".join(sorted(keys, key=lambda k: (-len(k), k))) + r")\s+([A-Za-z_]\w+)") for label, keys in sorted(words.items()) if label not in ("Impl", "TypeAlias")]
+
+
+_DECLARATIONS = _declarations()
 
 
 @query("documents", sql="WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line_no FROM documents WHERE lower(trim(source)) = 'code')" + " UNION ALL ".join(
     f" SELECT doc_id, line_no, '{label}' AS label, regexp_extract(line, '{pattern}', 1) AS name FROM l WHERE regexp_matches(line, '{pattern}')" for label, pattern in _DECLARATIONS))
 def ex15_declarations(documents):
+    """Declarations by the keywords of all languages, line by line: what is left where no grammar is known."""
     lines = documents.where(F.lower(F.trim("source")) == "code").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     found = [F.when(F.col("line").rlike(p), F.struct(F.lit(label).alias("label"), F.regexp_extract("line", p, 1).alias("name"))) for label, p in _DECLARATIONS]
     return lines.select("doc_id", (F.col("i") + 1).cast("bigint").alias("line_no"), F.explode(F.array_compact(F.array(*found))).alias("d")).select("doc_id", "line_no", "d.label", "d.name")
@@ -246,18 +256,10 @@ def ep20_config_links(nodes):
     return nodes.select("id", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("h.key", "id", "h.confidence")
 
 
-@query("documents", sql=f"""
-SELECT doc_id, array_to_string(list_filter(list_transform(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> ''), lambda x: regexp_replace(x, '[^\\p{{L}}\\p{{N}}_]', '', 'g')), lambda x: strlen(x) > 1 AND x NOT IN ({_quoted(fixed.STOP_WORDS)}))[1:12], ' ') AS keywords
-FROM documents WHERE text IS NOT NULL""")
-def fp15_keywords(documents):
-    """The first 12 keywords of a text, as its SQL twin has them; fp15_all_keywords has all."""
-    return documents.where("text is not null").select("doc_id", F.array_join(F.slice(C.keywords(F.col("text")), 1, 12), " ").alias("keywords"))
-
-
 @query("documents", sql=f"""
 SELECT doc_id, array_to_string(list_filter(list_transform(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> ''), lambda x: regexp_replace(x, '[^\\p{{L}}\\p{{N}}_]', '', 'g')), lambda x: strlen(x) > 1 AND x NOT IN ({_quoted(fixed.STOP_WORDS)})), ' ') AS keywords
 FROM documents WHERE text IS NOT NULL""")
-def fp15_all_keywords(documents):
+def fp15_keywords(documents):
     """All keywords of a text, in its order."""
     return documents.where("text is not null").select("doc_id", F.array_join(C.keywords(F.col("text")), " ").alias("keywords"))
 
