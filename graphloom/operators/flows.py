@@ -127,8 +127,8 @@ def backend_flow(nodes: DataFrame, edges: DataFrame, routes: DataFrame, depth: i
     for d in range(1, depth + 1):
         seen = reduce(DataFrame.unionByName, levels).select("route_id", "id")
         new = levels[-1].join(hop, "id").select("route_id", F.col("to").alias("id")).distinct().join(seen, ["route_id", "id"], "left_anti")
-        level = tables.put(new.withColumn("depth", F.lit(d)))
-        if level.isEmpty():
+        level, n = tables.counted(new.withColumn("depth", F.lit(d)))
+        if not n:
             break
         levels.append(level)
     n = nodes.select("id", layer_of(F.col("file_path"), F.col("name"), F.col("properties")).alias("layer"), F.col("label").alias("__label"))

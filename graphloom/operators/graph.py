@@ -42,8 +42,8 @@ def frontier(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = Fal
         for level in levels[1:]:
             seen = seen.unionByName(level)
         reached = levels[-1].join(hop, F.col("id") == F.col("from")).select(F.col("to").alias("id")).where("id is not null").distinct()
-        new = tables.put(reached.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
-        if new.isEmpty():
+        new, n = tables.counted(reached.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
+        if not n:
             break
         levels.append(new)
     out = levels[0]
@@ -103,8 +103,8 @@ def levels(depends: DataFrame) -> DataFrame:
     placed, level = [], 0
     while True:
         blocked = need.join(rest.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id")).distinct()
-        ready = tables.put(rest.join(blocked, "id", "left_anti").select("id", F.lit(level).alias("level")))
-        if ready.isEmpty():
+        ready, n = tables.counted(rest.join(blocked, "id", "left_anti").select("id", F.lit(level).alias("level")))
+        if not n:
             break
         placed.append(ready)
         rest, level = tables.put(rest.join(ready.select("id"), "id", "left_anti")), level + 1

@@ -34,18 +34,16 @@ def close_hierarchy(links: DataFrame, with_path: bool = False) -> DataFrame:
     both = links.where("parent is not null and child is not null").select(
         G, F.explode(F.array(F.struct(F.col("child").alias(NODE), F.col("parent").alias(PAR)), F.struct(F.col("parent").alias(NODE), F.lit(None).cast("bigint").alias(PAR)))).alias("x")
     )
-    start = tables.put(both.groupBy(G, F.col(f"x.{NODE}").alias(NODE)).agg(F.min(f"x.{PAR}").alias(PAR)))
+    start, members = tables.counted(both.groupBy(G, F.col(f"x.{NODE}").alias(NODE)).agg(F.min(f"x.{PAR}").alias(PAR)))
     below = start.where(f"{PAR} is not null").select(F.col(G).alias("down_link"), F.col(PAR).alias("up"), F.col(NODE).alias("down"))
     top = [F.col(NODE).alias("root_id"), F.lit(0).cast("bigint").alias("depth"), *([F.array(NODE).alias("path")] if with_path else [])]
-    frontier = tables.put(start.where(f"{PAR} is null").select(G, NODE, *top))
-    levels, members, reached = [frontier], start.count(), frontier.count()
-    new = reached
+    frontier, reached = tables.counted(start.where(f"{PAR} is null").select(G, NODE, *top))
+    levels, new = [frontier], reached
     while new and reached < members:
         step = below.join(frontier, (F.col(G) == F.col("down_link")) & (F.col(NODE) == F.col("up"))).select(
             G, F.col("down").alias(NODE), "root_id", (F.col("depth") + 1).alias("depth"), *([F.concat("path", F.array("down")).alias("path")] if with_path else [])
         )
-        frontier = tables.put(step)
-        new = frontier.count()
+        frontier, new = tables.counted(step)
         levels.append(frontier)
         reached += new
     out = reduce(DataFrame.unionByName, levels)

@@ -283,8 +283,8 @@ def run_increment(
         both = offered.join(held, F.col("__key") == F.col("__held"), "full").where("in_source is null or __held is null or not (offered <=> held)")
         kind = F.when(F.col("__held").isNull(), "new").when(F.col("in_source").isNull(), "gone").otherwise("changed")
         change = both.select(F.coalesce("__key", "__held").alias("__key"), "offered", kind.alias("change"))
-    change = tables.put(change)
-    if change.isEmpty():
+    change, n = tables.counted(change)
+    if not n:
         tables.close()
         return at
     wanted = change.where("change <> 'gone'").select(F.col("__key").alias("__due"))

@@ -75,6 +75,11 @@ class SharedTables:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def counted(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """``put``, and the number of rows."""
+        out = self.put(df)
+        return out, out.count()
+
     def replace(self, df: DataFrame) -> DataFrame:
         """``put``, and drop the table that the previous call of ``replace`` wrote; nothing may read that one any more."""
         old, self._replaced = self._replaced, self._n
