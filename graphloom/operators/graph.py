@@ -172,3 +172,16 @@ def supersets(owners: DataFrame, needs: DataFrame) -> DataFrame:
 def top_per_group(df: DataFrame, group: list[str], order: list, n: int) -> DataFrame:
     """The first n rows of each group."""
     return df.withColumn("__rn", F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col("__rn") <= n).drop("__rn")
+
+
+def traversed(edges: DataFrame, seeds: DataFrame, depth: int, targets: DataFrame | None = None) -> DataFrame:
+    """(source_id, target_id, type, depth): every edge that a walk from the seeds passes, with the step that passes it.
+
+    Edges to nodes seen before count as well. With ``targets`` (id) the walk ends with the step that first reaches one.
+    """
+    reached = frontier(edges, seeds, depth)
+    passed = edges.select("source_id", "target_id", "type").distinct().join(reached.where(F.col("depth") < depth).select(F.col("id").alias("source_id"), (F.col("depth") + 1).alias("depth")), "source_id")
+    if targets is None:
+        return passed
+    hit = passed.join(targets.select(F.col("id").alias("target_id")), "target_id", "left_semi").agg(F.coalesce(F.min("depth"), F.lit(depth)).alias("last"))
+    return passed.join(F.broadcast(hit)).where("depth <= last").drop("last")  # one row

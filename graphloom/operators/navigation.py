@@ -202,3 +202,17 @@ def file_messages(nodes: DataFrame, edges: DataFrame, hashes: DataFrame) -> Data
         F.when(F.col("live").isNull(), "no hash on record"), F.when(~F.col("live"), "file is deleted"), F.when(F.col("symbols") == 0, "no symbols"), F.when((F.col("symbols") > 0) & (F.col("ends") == 0), "symbols without edges"), F.when((F.col("ends") > 0) & (F.col("out") == 0), "only incoming edges"), F.when(F.col("bad") > 0, "lines out of order"),
     ))
     return each.select("file_path", F.explode(said).alias("message"))
+
+
+def referencing_tests(targets: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(project, name, test_path, score) of the test files that hold a symbol whose name contains a target's name.
+
+    ``targets(project, name)`` is a stated set of names; ``symbols(project, file_path, name)``. Names meet by their first
+    three letters, those of fewer letters by what they have.
+    """
+    low = F.lower("name")
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda i: F.substring(low, i, F.lit(n)))
+    held = symbols.where(C.is_test_path(F.concat(F.lit("/"), "file_path")) & (F.col("name") != "")).select("project", "file_path", low.alias("own"), F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("gram"))
+    wanted = targets.where("name <> ''").select("project", "name", F.substring(low, 1, 3).alias("gram")).distinct()
+    met = wanted.join(held, ["project", "gram"]).where(F.contains("own", F.lower("name")))
+    return met.select("project", "name", F.col("file_path").alias("test_path"), F.lit(0.65).alias("score")).distinct()

@@ -599,3 +599,43 @@ def api_tools(*tables):
     for more in counted[1:]:
         out = out.unionByName(more)
     return out
+
+
+_WALK = "WITH RECURSIVE c AS (SELECT DISTINCT source_id, target_id FROM edges WHERE type IN ('CALLS', 'ASYNC_CALLS')), r AS (SELECT id, 0 AS depth FROM nodes WHERE {seeds} UNION SELECT c.target_id, r.depth + 1 FROM r JOIN c ON c.source_id = r.id WHERE r.depth < {depth}), m AS (SELECT id, min(depth) AS depth FROM r GROUP BY id), p AS (SELECT DISTINCT e.source_id, e.target_id, e.type, m.depth + 1 AS depth FROM edges e JOIN m ON m.id = e.source_id WHERE e.type IN ('CALLS', 'ASYNC_CALLS') AND m.depth < {depth})"
+
+
+@R.whole("nodes", "edges", sql=_WALK.format(seeds="label = 'Function' AND starts_with(name, 'render')", depth=3) + " SELECT source_id, target_id, type, depth::INT AS depth FROM p")
+def g1_traced_edges(nodes, edges):
+    return G.traversed(edges.where("type in ('CALLS', 'ASYNC_CALLS')"), nodes.where("label = 'Function' and startswith(name, 'render')"), 3)
+
+
+@R.sample("nodes", "edges", sql=_WALK.format(seeds="name = 'main'", depth=5) + " SELECT source_id, target_id, type, depth::INT AS depth FROM p WHERE depth <= coalesce((SELECT min(p.depth) FROM p JOIN nodes n ON n.id = p.target_id WHERE n.name = 'AppComponent'), 5)")
+def g1_traced_to_a_target(nodes, edges):
+    return G.traversed(edges.where("type in ('CALLS', 'ASYNC_CALLS')"), nodes.where("name = 'main'"), 5, nodes.where("name = 'AppComponent'"))
+
+
+@R.whole("nodes", "edges", sql=f"""
+WITH f AS (SELECT DISTINCT project, file_path, coalesce({_case(fixed.LAYERS, lambda w: f"contains(lower(file_path), '{w}')")} END, 'other') AS layer FROM nodes WHERE file_path <> ''), k AS (SELECT *, row_number() OVER (PARTITION BY project, layer ORDER BY file_path) AS rn, count(*) OVER (PARTITION BY project, layer) AS files FROM f),
+t AS (SELECT * FROM k WHERE rn <= 10), x AS (SELECT source_id AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT target_id, 0, 1 FROM edges), e AS (SELECT n.project, n.file_path, sum(x.o) AS o, sum(x.i) AS i FROM x JOIN nodes n ON n.id = x.id WHERE n.file_path <> '' GROUP BY ALL)
+SELECT t.project, t.layer, max(t.files) AS files, coalesce(sum(e.o), 0)::BIGINT AS n_out, coalesce(sum(e.i), 0)::BIGINT AS n_in FROM t LEFT JOIN e USING (project, file_path) GROUP BY ALL""")
+def a13_layer_edges(nodes, edges):
+    """Files of each layer, and the edges of its first ten files by path."""
+    own = nodes.where("file_path <> ''")
+    f = own.select("project", "file_path").distinct().withColumn("layer", F.coalesce(C.layer(F.col("file_path")), F.lit("other")))
+    count = f.groupBy("project", "layer").agg(F.count("*").alias("files"))
+    each = own.join(G.degrees(edges), "id").groupBy("project", "file_path").agg(F.sum("fan_out").alias("o"), F.sum("fan_in").alias("i"))
+    first = G.top_per_group(f, ["project", "layer"], ["file_path"], 10).join(each, ["project", "file_path"], "left").groupBy("project", "layer").agg(F.coalesce(F.sum("o"), F.lit(0)).alias("n_out"), F.coalesce(F.sum("i"), F.lit(0)).alias("n_in"))
+    return count.join(first, ["project", "layer"])
+
+
+@R.expected("project string, name string, test_path string, score double", [("p", "load", "tests/a.py", 0.65), ("p", "save", "b.test.ts", 0.65), ("p", "save", "tests/a.py", 0.65)],
+    targets=("project string, name string", [("p", "load"), ("p", "save"), ("p", "none"), ("q", "load")]),
+    symbols=("project string, file_path string, name string", [("p", "tests/a.py", "test_load_twice"), ("p", "tests/a.py", "Saved"), ("p", "b.test.ts", "saves"), ("p", "src/a.py", "load"), ("p", "tests/a.py", "load2")]))
+def sv4_referencing_tests(targets, symbols):
+    return V.referencing_tests(targets, symbols)
+
+
+@R.whole("documents", sql="SELECT path, line_no, content FROM (SELECT path, doc_id, unnest(string_split(text, chr(10))) AS content, unnest(generate_series(1, len(string_split(text, chr(10))))) AS line_no FROM documents WHERE path IS NOT NULL AND project = 'meridian-core') WHERE contains(content, 'ledger')")
+def sc19_grep_of_a_project(documents):
+    lines = documents.where("path is not null and project = 'meridian-core'").select("path", F.posexplode(F.split("text", "\n")).alias("i", "content"))
+    return lines.where(F.contains("content", F.lit("ledger"))).select("path", (F.col("i") + 1).cast("bigint").alias("line_no"), "content")
