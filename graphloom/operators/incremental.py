@@ -93,7 +93,7 @@ def replay_runs(log: DataFrame, runs: DataFrame) -> DataFrame:
         holds = (F.col("from_scan") <= F.col("at_scan")) & (F.col("to_scan").isNull() | (F.col("at_scan") < F.col("to_scan")))
         source = states.join(due, F.col("project").eqNullSafe(F.col("run_project")) & holds).select("project", "file", "version")
         before = target.version()
-        if run_increment(source, target, ("project", "file"), "version", lambda changed: changed, scope=due.select(F.col("run_project").alias("project")), compact_after=None) > before:
+        if run_increment(source, target, ("project", "file"), "version", None, scope=due.select(F.col("run_project").alias("project")), compact_after=None) > before:
             published.append((before + 1, nth))
     if not published:
         return states.select(F.lit(None).cast(runs.schema["run_id"].dataType).alias("run_id"), *KEY).limit(0)
@@ -253,7 +253,7 @@ def run_increment(
     target: VersionedTarget,
     key: Sequence[str],
     version: str,
-    process: Callable[[DataFrame], DataFrame],
+    process: Callable[[DataFrame], DataFrame] | None,
     scope: DataFrame | None = None,
     compact_after: int | None = 32,
 ) -> int:
@@ -261,7 +261,8 @@ def run_increment(
 
     Source and target meet in one full join over keys and versions, which is the anti-join in both directions; only what
     it finds different is processed and written. ``process`` gets the new and changed source rows and must keep the key
-    columns; its output may hold any number of rows a record. Output of records that changed or are gone is dropped.
+    columns; its output may hold any number of rows a record. Without ``process`` the target holds keys and versions
+    alone, which ``changes`` gives. Output of records that changed or are gone is dropped.
     ``scope`` names the values of a prefix of the key for which the source is complete (all by default); keys of the
     target outside it are left as they are. After ``compact_after`` parts the target is written anew as one part.
     Returns the current version; if nothing changed, no version is written. A run that dies before publishing has no
@@ -287,10 +288,12 @@ def run_increment(
     if not n:
         tables.close()
         return at
-    wanted = change.where("change <> 'gone'").select(F.col("__key").alias("__due"))
-    due = source.join(wanted, F.struct(*key) == F.col("__due"), "left_semi")
+    rows = None
+    if process is not None:
+        wanted = change.where("change <> 'gone'").select(F.col("__key").alias("__due"))
+        rows = process(source.join(wanted, F.struct(*key) == F.col("__due"), "left_semi"))
     keys = change.select("__key.*", F.col("offered").alias("version"), (F.col("change") == "gone").alias("gone"))
-    now = target.append(process(due), keys, key, at)
+    now = target.append(rows, keys, key, at)
     tables.close()
     if compact_after is not None and len(target.parts(now)) > compact_after:
         now = target.compact(key, now)
