@@ -492,8 +492,11 @@ def _config(kind: str, name: str) -> None:
         found, kinds = configs.config_graph(files)[1], configs.kinds(files)
         return found.join(kinds, "rel_path").where(F.col("kind") == kind).select("type", "source", "target")
 
-    QUERIES[f"{name}_nodes"], ORACLES[f"{name}_nodes"] = nodes, values(("label string, name string, detail string", _PIPE_NODES[kind]))
-    QUERIES[f"{name}_edges"], ORACLES[f"{name}_edges"] = edges, values(("type string, source string, target string", [r[1:] for r in _PIPE_EDGES if r[0] == kind]))
+    links = [r[1:] for r in _PIPE_EDGES if r[0] == kind]
+    if _PIPE_NODES[kind]:
+        QUERIES[f"{name}_nodes"], ORACLES[f"{name}_nodes"] = nodes, values(("label string, name string, detail string", _PIPE_NODES[kind]))
+    if links:
+        QUERIES[f"{name}_edges"], ORACLES[f"{name}_edges"] = edges, values(("type string, source string, target string", links))
 
 
 for _kind, _name in _KINDS.items():
@@ -622,3 +625,13 @@ def ft4_broad_search(nodes, contents):
 def j4_texts_with_nodes(nodes, contents):
     hit = contents.where(F.contains("content", F.lit("run"))).select("project", "qualified_name")
     return hit.join(nodes.select("project", "qualified_name", "id"), ["project", "qualified_name"])
+
+
+@R.expected("source_id bigint, target_id bigint", [(1, 3), (2, 3)], symbols=("project string, symbol_id bigint, file_path string, name string, label string, body_text string", [("p", 1, "a", "f", "Function", "f() { LIMIT + g(x) }"), ("p", 2, "b", "m", "Method", "m() { return LIMIT; LIMIT }"), ("p", 3, "c", "LIMIT", "Class", None), ("p", 4, "d", "g", "Function", "g() {}"), ("p", 5, "c", "k", "Function", "k(LIMIT)"), ("q", 6, "e", "h", "Function", "LIMIT")]))
+def ep22_usage_cases(symbols):
+    return P.usages(symbols)
+
+
+@R.expected("source_id bigint, target_id bigint", [(1, 3), (2, 5)], symbols=("project string, symbol_id bigint, name string, label string, decorators array<string>", [("p", 1, "f", "Function", ["@cached(1)", "@unknown"]), ("p", 2, "C", "Class", ["Injectable"]), ("p", 3, "cached", "Function", None), ("p", 4, "cached", "Method", None), ("p", 5, "Injectable", "Class", []), ("q", 6, "g", "Function", ["cached"])]))
+def ep5_decorator_cases(symbols):
+    return ep5_decorators(symbols)
