@@ -27,8 +27,8 @@ def close_hierarchy(links: DataFrame, with_path: bool = False) -> DataFrame:
     by parent; a parent of very many children is a hot key on the links' side alone, which adaptive execution splits.
 
     Defined cases: a row with a null parent or child is no link; repeated rows count once; of several parents of one
-    child the smallest id counts; an id that is its own parent is a cycle of one; no links give no rows; further columns
-    are ignored.
+    child the smallest id counts; an id that is its own parent is a cycle of one; a null link is a hierarchy of its own; no
+    links give no rows; further columns are ignored.
     """
     tables = SharedTables(links.sparkSession, "hierarchy")
     both = links.where("parent is not null and child is not null").select(
@@ -40,7 +40,7 @@ def close_hierarchy(links: DataFrame, with_path: bool = False) -> DataFrame:
     frontier, reached = tables.counted(start.where(f"{PAR} is null").select(G, NODE, *top))
     levels, new = [frontier], reached
     while new and reached < members:
-        step = below.join(frontier, (F.col(G) == F.col("down_link")) & (F.col(NODE) == F.col("up"))).select(
+        step = below.join(frontier, F.col(G).eqNullSafe(F.col("down_link")) & (F.col(NODE) == F.col("up"))).select(
             G, F.col("down").alias(NODE), "root_id", (F.col("depth") + 1).alias("depth"), *([F.concat("path", F.array("down")).alias("path")] if with_path else [])
         )
         frontier, new = tables.counted(step)
@@ -49,7 +49,7 @@ def close_hierarchy(links: DataFrame, with_path: bool = False) -> DataFrame:
     out = reduce(DataFrame.unionByName, levels)
     if reached < members:  # a level brought nothing new: the rest leads into cycles
         known = out.select(F.col(G).alias("known_link"), F.col(NODE).alias("known"))
-        lost = start.join(known, (F.col(G) == F.col("known_link")) & (F.col(NODE) == F.col("known")), "left_anti")
+        lost = start.join(known, F.col(G).eqNullSafe(F.col("known_link")) & (F.col(NODE) == F.col("known")), "left_anti")
         cyclic = _cycle_roots(lost, tables).select(G, NODE, "root_id", F.lit(-1).cast("bigint").alias("depth"), *([F.lit(None).cast("array<bigint>").alias("path")] if with_path else []))
         out = out.unionByName(cyclic)
     return out
@@ -64,12 +64,12 @@ def _cycle_roots(looped: DataFrame, tables: SharedTables) -> DataFrame:
     current = tables.replace(looped.select(G, NODE, PAR, F.col(PAR).alias(ANC), F.col(NODE).alias(LOW)))
     while True:
         ahead = current.select(F.col(G).alias("up_link"), F.col(NODE).alias("up"), F.col(ANC).alias("up_anc"), F.col(LOW).alias("up_low"))
-        step = current.join(ahead, (F.col(G) == F.col("up_link")) & (F.col(ANC) == F.col("up"))).select(
+        step = current.join(ahead, F.col(G).eqNullSafe(F.col("up_link")) & (F.col(ANC) == F.col("up"))).select(
             G, NODE, PAR, F.col("up_anc").alias(ANC), F.least(LOW, "up_low").alias(LOW), F.col("up_low").alias("root_id")
         )
         current = tables.replace(step)
         above = current.select(F.col(G).alias("up_link"), F.col(NODE).alias("above"), F.col("root_id").alias("above_root"))
-        differing = current.join(above, (F.col(G) == F.col("up_link")) & (F.col(PAR) == F.col("above"))).where("root_id <> above_root")
+        differing = current.join(above, F.col(G).eqNullSafe(F.col("up_link")) & (F.col(PAR) == F.col("above"))).where("root_id <> above_root")
         if not differing.limit(1).count():
             return current.select(G, NODE, "root_id")
 

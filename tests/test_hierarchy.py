@@ -55,3 +55,13 @@ def test_links_of_graph(frame):
     edges = frame([(1, "p", 1, 2, "CONTAINS"), (2, "p", 3, 4, "INHERITS"), (3, "p", 5, 6, "CALLS")], "id bigint, project string, source_id bigint, target_id bigint, type string")
     symbols = frame([(10, "p", "f", "A", "Class", None), (11, "p", "f", "m", "Method", "A"), (12, "p", "g", "m", "Method", "A"), (13, "p", "f", "k", "Method", "m")], "symbol_id bigint, project string, file_path string, name string, label string, parent_name string")
     assert {(r["link"], r["parent"], r["child"]) for r in links_of_graph(edges, symbols).collect()} == {("CONTAINS", 1, 2), ("INHERITS", 4, 3), ("PARENT_NAME", 10, 11)}
+
+
+def test_null_link_and_clashing_columns(frame):
+    df = frame([(None, 1, 2, 9, 9, "x"), (None, 2, 3, 9, 9, "x"), (None, 5, 6, 9, 9, "x"), (None, 6, 5, 9, 9, "x"), ("L", 2, 1, 9, 9, "x")], SCHEMA + ", node_id bigint, root_id bigint, par string")
+    assert {(r["link"], r["node_id"], r["root_id"], r["depth"]) for r in close_hierarchy(df).collect()} == {(None, 1, 1, 0), (None, 2, 1, 1), (None, 3, 1, 2), (None, 5, 5, -1), (None, 6, 5, -1), ("L", 2, 2, 0), ("L", 1, 2, 1)}
+
+
+def test_deep_and_wide(frame):
+    pairs = [(i, i + 1) for i in range(120)] + [(7, 1000 + i) for i in range(3000)]
+    assert as_dict(closed(frame, pairs)) == brute(pairs)

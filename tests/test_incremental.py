@@ -90,3 +90,16 @@ def test_concurrent_writers(spark, frame, tmp_path):
     with ThreadPoolExecutor(8) as pool:
         got = list(pool.map(lambda i: target._create(f"{target.root}/log/{1:012d}", f"[{i}]"), range(8)))
     assert got.count(True) == 1 and target.parts() == [got.index(True)]
+
+
+def test_clashing_columns_and_odd_values(spark, frame, tmp_path):
+    schema = "k string, v string, version string, gone boolean, change string, offered int"
+    rows = [("x" * 50_000, "1", "a", True, "c", 1), (None, "1", None, None, None, None), ("", None, "b", False, "d", 2)]
+    target = VersionedTarget(spark, str(tmp_path / "t"))
+    assert run_increment(frame(rows, schema), target, ["k"], "v", lambda df: df) == 1
+    assert run_increment(frame(rows, schema), target, ["k"], "v", lambda df: df) == 1
+    assert run_increment(frame([rows[0], ("", "2", "b", False, "d", 2)], schema), target, ["k"], "v", lambda df: df) == 2
+    assert sorted((r["k"][:1], r["v"], r["version"], r["offered"]) for r in target.read().collect()) == [("", "2", "b", 2), ("x", "1", "a", 1)]
+    assert run_increment(frame([], schema), target, ["k"], "v", lambda df: df) == 3 and target.read().count() == 0
+    empty = VersionedTarget(spark, str(tmp_path / "e"))
+    assert run_increment(frame([], schema), empty, ["k"], "v", lambda df: df) == 0 and empty.read() is None
