@@ -176,13 +176,13 @@ def mixture(
     many tokens as the documents of these sources have), counted in blocks; no block, and so no token of a record, is
     used more than max_repeat times. A source that is too small is used up to its cap and the others fill in by share;
     if none can, the mixture is smaller. Defined cases: sources are compared in lower case without blanks around them;
-    documents without a source, of a source without target or without text are left out; null shares and repeats count
+    documents without an id or a source, of a source without target or without text are left out; null shares and repeats count
     as 0; a target given twice takes the larger share; ids must be unique; further columns are ignored.
     """
     spark = docs.sparkSession
     tables = SharedTables(spark, "mixture")
     wanted = {r["s"]: (r["w"], r["m"]) for r in targets.where("source is not null").groupBy(clean_source(F.col("source")).alias("s")).agg(F.max(F.coalesce("target_share", F.lit(0.0))).alias("w"), F.max(F.coalesce("max_repeat", F.lit(0))).alias("m")).collect()}
-    held = docs.where(clean_source(F.col("source")).isin(list(wanted)))
+    held = docs.where(clean_source(F.col("source")).isin(list(wanted)) & F.col(doc_id).isNotNull())
     blocks = tables.put(packed_blocks(tables.put(token_counts(held, doc_id, text, vocabulary)), block, seed))
     held_by = blocks.groupBy("source").agg(F.max("block").alias("m"), F.sum("n").alias("n")).collect()
     sizes = {r["source"]: r["m"] + 1 for r in held_by}

@@ -61,3 +61,11 @@ def test_slots_hold_blocks(frame, spark, tmp_path):
     same = {}
     for r in slots:  # the same block has the same content wherever it is repeated
         assert same.setdefault((r["source"], r["block"]), (r["tokens"], r["records"], r["content"])) == (r["tokens"], r["records"], r["content"])
+
+
+def test_documents_without_id_and_clashing_columns(frame):
+    docs = frame([(1, "code", "a b c d", 7, "x"), (None, "code", "e f g h", 7, "x"), (2, "adr", "one two " * 5000, 7, "x"), (3, "adr", "", 7, "x")], "doc_id bigint, source string, text string, n int, block string")
+    targets = frame([("code", 0.5, 2), ("code", 0.4, 1), ("adr", 0.5, None)], "source string, target_share double, max_repeat int")
+    mixed = M.mixture(docs, targets, total_tokens=8, block=4)
+    assert {r["doc_id"] for r in mixed.collect()} == {1}
+    assert [r["tokens"] for r in M.materialize(mixed, docs).collect()] == [M.encoder(M.VOCABULARY).encode_ordinary("a b c d")] * 2
