@@ -306,17 +306,7 @@ t AS (SELECT DISTINCT project, name FROM nodes WHERE label IN ('Class', 'Interfa
 SELECT a, b, round(points / 100.0, 2) AS score FROM (SELECT x.name AS a, y.name AS b, CASE WHEN contains(lower(x.name), lower(y.name)) OR contains(lower(y.name), lower(x.name)) OR x.stem = y.stem THEN 25 ELSE 0 END + least(30, 10 * coalesce(s.n, 0)) + least(15, 8 * len(list_filter(x.k, lambda w: list_contains(y.k, w)))) AS points
   FROM p x JOIN p y ON x.name < y.name LEFT JOIN s ON s.pa = x.name AND s.pb = y.name) WHERE points > 0""")
 def sv5_link_suggestions(projects, nodes):
-    """Pairs of projects, a small table by nature, joined with counts of shared type names."""
-    k = F.filter(F.split(F.lower("name"), "[-_.]"), lambda x: (F.length(x) > 2) & ~x.isin(*fixed.GENERIC_NAME_WORDS))
-    p = projects.select("name", k.alias("k"), F.regexp_replace(F.lower("name"), "|".join(fixed.PROJECT_SUFFIXES), "").alias("stem"))
-    y = p.select(F.col("name").alias("b"), F.col("k").alias("kb"), F.col("stem").alias("sb"))
-    t = nodes.where(F.col("label").isin("Class", "Interface")).select(F.col("project").alias("a"), "name").distinct()
-    shared = t.join(t.withColumnRenamed("a", "b"), "name").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    pairs = p.withColumnRenamed("name", "a").join(y, F.col("a") < F.col("b")).join(shared, ["a", "b"], "left")
-    related = F.contains(F.lower("a"), F.lower("b")) | F.contains(F.lower("b"), F.lower("a")) | (F.col("stem") == F.col("sb"))
-    common = F.size(F.filter("k", lambda x: F.array_contains("kb", x)))
-    points = F.when(related, 25).otherwise(0) + F.least(F.lit(30), 10 * F.coalesce("n", F.lit(0))) + F.least(F.lit(15), 8 * common)
-    return pairs.select("a", "b", points.alias("points")).where("points > 0").select("a", "b", F.round(F.col("points") / 100, 2).alias("score"))
+    return S.link_suggestions(projects, nodes).drop("reasons")
 
 
 # usage log: the events table as tool calls
