@@ -180,9 +180,12 @@ class VersionedTarget:
         """Write a whole version and make it current; raises if another writer published since ``based_on``."""
         return self._commit(rows, None, (), [], based_on)
 
-    def append(self, rows: DataFrame | None, keys: DataFrame, key: Sequence[str], based_on: int) -> int:
-        """Publish the version ``based_on`` with a further part: rows, and keys (key..., version, gone) they replace."""
-        return self._commit(rows, keys, key, self.parts(based_on), based_on)
+    def append(self, rows: DataFrame | None, keys: DataFrame, key: Sequence[str], based_on: int, unless_empty: bool = False) -> int:
+        """Publish the version ``based_on`` with a further part: rows, and keys (key..., version, gone) they replace.
+
+        With ``unless_empty`` a part without keys is no new version, and ``based_on`` stays the current one.
+        """
+        return self._commit(rows, keys, key, self.parts(based_on), based_on, unless_empty)
 
     def compact(self, key: Sequence[str], based_on: int) -> int:
         """Publish the version ``based_on`` again as one part."""
@@ -190,7 +193,7 @@ class VersionedTarget:
         keys = state and state.select("__key.*", "version", F.lit(False).alias("gone"))
         return self._commit(self.read(number=based_on), keys, key, [], based_on)
 
-    def _commit(self, rows: DataFrame | None, keys: DataFrame | None, key: Sequence[str], parts: list[dict], based_on: int) -> int:
+    def _commit(self, rows: DataFrame | None, keys: DataFrame | None, key: Sequence[str], parts: list[dict], based_on: int, unless_empty: bool = False) -> int:
         name, number = uuid.uuid4().hex, based_on + 1
         part = {"part": number, "key": list(key), "rows": None, "keys": None}
         for which, df in (("rows", rows), ("keys", keys)):
@@ -198,6 +201,9 @@ class VersionedTarget:
                 part[which], numbered = f"{which}/{name}", df.withColumn("__part", F.lit(number))
                 part[f"{which}_schema"] = numbered.schema.json()
                 numbered.write.parquet(f"{self.root}/{part[which]}")
+        if unless_empty and not self._each([part], "keys").count():
+            delete_path(self.spark, f"{self.root}/{part['keys']}")
+            return based_on
         if not self._create(f"{self.root}/log/{number:012d}", json.dumps([*parts, part])):
             for which in ("rows", "keys"):
                 delete_path(self.spark, f"{self.root}/{which}/{name}")
@@ -271,7 +277,6 @@ def run_increment(
     that differs from the target is processed); an empty source makes all of the target gone; an empty target all new.
     """
     at = target.version()
-    tables = SharedTables(source.sparkSession, "increment")
     offered = source.select(F.struct(*key).alias("__key"), F.col(version).alias("offered"), F.lit(True).alias("in_source"))
     held = target.state(key, at)
     if held is None:
@@ -284,17 +289,18 @@ def run_increment(
         both = offered.join(held, F.col("__key") == F.col("__held"), "full").where("in_source is null or __held is null or not (offered <=> held)")
         kind = F.when(F.col("__held").isNull(), "new").when(F.col("in_source").isNull(), "gone").otherwise("changed")
         change = both.select(F.coalesce("__key", "__held").alias("__key"), "offered", kind.alias("change"))
-    change, n = tables.counted(change)
-    if not n:
-        tables.close()
-        return at
-    rows = None
-    if process is not None:
+    as_keys = lambda df: df.select("__key.*", F.col("offered").alias("version"), (F.col("change") == "gone").alias("gone"))
+    if process is None:
+        now = target.append(None, as_keys(change), key, at, unless_empty=True)
+    else:
+        tables = SharedTables(source.sparkSession, "increment")
+        change, n = tables.counted(change)
+        if not n:
+            tables.close()
+            return at
         wanted = change.where("change <> 'gone'").select(F.col("__key").alias("__due"))
-        rows = process(source.join(wanted, F.struct(*key) == F.col("__due"), "left_semi"))
-    keys = change.select("__key.*", F.col("offered").alias("version"), (F.col("change") == "gone").alias("gone"))
-    now = target.append(rows, keys, key, at)
-    tables.close()
+        now = target.append(process(source.join(wanted, F.struct(*key) == F.col("__due"), "left_semi")), as_keys(change), key, at)
+        tables.close()
     if compact_after is not None and len(target.parts(now)) > compact_after:
         now = target.compact(key, now)
     return now
