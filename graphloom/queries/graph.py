@@ -374,18 +374,3 @@ def sc21_ingest_traces(nodes, edges):
 @query("SELECT label, count(*) FILTER (WHERE file_path IS NULL OR file_path = '') AS without_file, count(*) FILTER (WHERE properties IS NULL OR properties = '{}') AS without_properties, count(*) FILTER (WHERE start_line > end_line) AS bad_range FROM nodes GROUP BY label")
 def sv10_index_diagnostics(nodes, edges):
     return nodes.groupBy("label").agg(F.count_if(F.col("file_path").isNull() | (F.col("file_path") == "")).alias("without_file"), F.count_if(F.col("properties").isNull() | (F.col("properties") == "{}")).alias("without_properties"), F.count_if(F.col("start_line") > F.col("end_line")).alias("bad_range"))
-
-
-@query("""
-SELECT qualified_name, round(greatest(0, least(1, raw / 100.0)), 2) AS score FROM (
-  SELECT qualified_name, (CASE WHEN starts_with(lower(name), 'test') THEN -40 ELSE 0 END + CASE WHEN contains(lower(file_path), 'controller') OR contains(lower(file_path), '/api/') THEN 20 WHEN contains(lower(file_path), 'route') OR contains(lower(file_path), 'handler') THEN 15 ELSE 0 END
-    + CASE WHEN regexp_matches(lower(file_path), '/test/|/tests/|\\.test\\.|\\.spec\\.') THEN -30 ELSE 0 END + CASE WHEN lower(name) IN ('main', 'bootstrap', 'init', 'start', 'createserver', 'app', 'run') THEN 25 ELSE 0 END + CASE WHEN label = 'Route' THEN 35 ELSE 0 END) AS raw
-  FROM nodes WHERE label NOT IN ('Module', 'File', 'Folder', 'Project', 'Package') AND file_path IS NOT NULL) WHERE raw > 0""")
-def sv1_entry_points(nodes, edges):
-    n, p = F.lower("name"), F.lower("file_path")
-    raw = (
-        F.when(n.startswith("test"), -40).otherwise(0) + F.when(C.any_of(p, ("controller", "/api/")), 20).when(C.any_of(p, ("route", "handler")), 15).otherwise(0) + F.when(C.any_of(p, ("/test/", "/tests/", ".test.", ".spec.")), -30).otherwise(0)
-        + F.when(n.isin("main", "bootstrap", "init", "start", "createserver", "app", "run"), 25).otherwise(0) + F.when(F.col("label") == "Route", 35).otherwise(0)
-    )
-    kept = nodes.where(~F.col("label").isin("Module", "File", "Folder", "Project", "Package") & F.col("file_path").isNotNull()).withColumn("raw", raw).where("raw > 0")
-    return kept.select("qualified_name", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("raw") / 100)), 2).alias("score"))

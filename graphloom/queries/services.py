@@ -177,7 +177,7 @@ def sv1_entry_point_reasons(nodes):
 
 
 @R.whole("nodes", sql=_ENTRY)
-def sv1_entry_points_of_all(nodes):
+def sv1_entry_points(nodes):
     return V.entry_points(nodes)
 
 

@@ -117,7 +117,7 @@ _TREE = {
 
 
 def _tree(spark) -> str:
-    """The sample tree, written to the shared folder."""
+    """The sample tree, written to the shared folder, which must be mounted."""
     root = f"{shared_dir(spark)}/graphloom/tree-{uuid.uuid4().hex}".removeprefix("file://")
     for name, text in _TREE.items():
         os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
@@ -161,10 +161,10 @@ def st2_streamed_windows(store, spark, d):
     path = f"{d}/events.parquet"
     schema = spark.read.parquet(path).schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d if not os.path.isdir(path) else path).select(F.col("event_type").alias("tool"), F.col("ts").cast("timestamp").alias("ts"), F.lit(1).alias("ms"))
-    name = f"windows_{uuid.uuid4().hex}"
-    query = stream.call_windows(events).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{store.root}/stream").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).select("tool", "start", "calls")
+    out = f"{store.root}/windows"
+    written = stream.call_windows(events).writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+    written.option("checkpointLocation", f"{store.root}/stream").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("tool", "start", "calls")
 
 
 @stored(values(("root string, files bigint", [("a", 2), ("a", 1), ("b", 1)])))
