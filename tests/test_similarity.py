@@ -36,3 +36,27 @@ def test_signatures(frame):
     assert set(got) == {1, 2, 5} and got[1] == got[2]
     assert got[5] == [(123_456_789 * a + b) % M.P for a, b in zip(M.MULTIPLIERS, M.OFFSETS)]
     assert M.signatures(frame([], "id bigint, h array<bigint>"), "id", "h").count() == 0
+
+
+def test_common_values_meet_nothing(frame):
+    """Slots whose value nearly all signatures share make no pairs; nulls agree with nothing; the few similar ones are found."""
+    rng = random.Random(3)
+    rows = [(i, [7] * 40 + [rng.randrange(10**9) for _ in range(88)]) for i in range(1000)]
+    for i in range(40):
+        sig, at = list(rows[i][1]), rng.sample(range(128), rng.choice([1, 20, 38, 39, 60]))
+        for j in at:
+            sig[j] = None if i % 3 == 0 else -1 - rng.randrange(10**9)
+        rows += [(5000 + i, sig), (6000 + i, list(sig))]
+    few = rows[:40] + rows[1000:]
+    want = sorted((a, b) for a, x in few for b, y in few if a < b and x != y and sum(p is not None and p == q for p, q in zip(x, y)) >= 90)
+    sets = frame(rows, "id bigint, s array<bigint>")
+    assert M._candidates(sets.select(F.xxhash64("s").alias("cls"), "s"), 128, 90).count() < 500
+    members, links = M.similar_signatures(sets, "id", "s")
+    ids = links.join(members.withColumnsRenamed({"id": "x", "cls": "a"}), "a").join(members.withColumnsRenamed({"id": "y", "cls": "b"}), "b")
+    got = sorted((min(r["x"], r["y"]), max(r["x"], r["y"])) for r in ids.collect())
+    assert got == want and len(want) > 20
+
+
+def test_no_agreement_needed(frame):
+    _, links = M.similar_signatures(frame([(i, [i] * 128) for i in range(40)], "id bigint, s array<bigint>"), "id", "s", threshold=0.0)
+    assert links.count() == 780
