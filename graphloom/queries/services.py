@@ -11,6 +11,7 @@ from graphloom.operators import flows as L
 from graphloom.operators import graph as G
 from graphloom.operators import navigation as V
 from graphloom.operators import similarity as M
+from graphloom.plans.lineage import SharedTables
 from graphloom.queries.samples import SAMPLES, Registry
 
 R = Registry()
@@ -484,7 +485,8 @@ SELECT DISTINCT m.symbol_id AS id, c.copies, coalesce(n.links, 0) AS links FROM
 @R.whole("ts_symbols", sql=_links_sql(f"WITH {_SIGS}"))
 def ep24_similar_functions(symbols):
     """Of each function of eight or more lines how many have an equal signature, and how many others a similar one."""
-    return M.class_links(*M.similar_signatures(_signatures(symbols), "symbol_id", "sig"))
+    made = SharedTables(symbols.sparkSession, "signatures").put(_signatures(symbols))
+    return M.class_links(*M.similar_signatures(made, "symbol_id", "sig"))
 
 
 @R.whole("fingerprints", sql=_links_sql("WITH m AS (SELECT symbol_id, hashes AS sig FROM fingerprints WHERE len(hashes) = 128)"))

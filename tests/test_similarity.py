@@ -60,3 +60,11 @@ def test_common_values_meet_nothing(frame):
 def test_no_agreement_needed(frame):
     _, links = M.similar_signatures(frame([(i, [i] * 128) for i in range(40)], "id bigint, s array<bigint>"), "id", "s", threshold=0.0)
     assert links.count() == 780
+
+
+def test_signatures_are_made_once(spark):
+    """The pairs are sought in stored signatures: no plan after these lexes texts again."""
+    from graphloom.queries import services
+
+    plan = services.QUERIES["ep24_similar_functions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "body_text" not in plan and "MapInArrow" not in plan
