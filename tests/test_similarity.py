@@ -68,3 +68,11 @@ def test_signatures_are_made_once(spark):
 
     plan = services.QUERIES["ep24_similar_functions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "body_text" not in plan and "MapInArrow" not in plan
+
+
+def test_small_and_empty_signatures(frame):
+    none, links = M.similar_signatures(frame([], "id bigint, s array<bigint>"), "id", "s")
+    assert none.count() == 0 and links.count() == 0
+    rows = [(1, [1, 2, 3, 4]), (2, [1, 2, 3, 5]), (3, [1, 2, 9, 9]), (4, [None, 2, 3, 4]), (5, [None] * 4), (6, [1, 2])]
+    members, links = M.similar_signatures(frame(rows, "id bigint, s array<int>"), "id", "s", 0.75, 4)
+    assert members.count() == 5 and links.count() == 2  # 1 with 2 and with 4
